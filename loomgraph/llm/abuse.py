@@ -113,7 +113,7 @@ def plain_words(segment: str) -> tuple[list[str], int, int]:
             w, odd = re.sub(r"[.·_-]", "", w), odd + 1
         elif "*" in w and re.search(r"\w\*+\w", w):
             w, odd = _stars(w, _star_cache), odd + 1
-        elif re.search(r"[a-zà-ÿ][013457@$!8]|[013457@$][a-zà-ÿ]", w) and sum(c.isalpha() for c in w) >= 1 and not re.fullmatch(r"[a-z]\d+|\d+[a-z]{1,3}|v?\d.*", w):
+        elif re.search(r"[a-zà-ÿ][013457@$!8]|[013457@$][a-zà-ÿ]", w) and sum(c.isalpha() for c in w) >= 1 and not re.fullmatch(r"[a-z]\d+|\d+[a-z]{1,3}|v?\d[\d.,:]*[a-z]?", w):
             t = w.translate(_LEET)
             t = t if t in _SEED_OF else t.replace("i", "l") if t.replace("i", "l") in _SEED_OF else t
             if t not in _SEED_OF and t.isalpha():
@@ -220,7 +220,7 @@ def _novel_words(segs: list[str], clean: np.ndarray) -> np.ndarray:
     return np.array([len(ws - known) for ws in words], dtype=float)
 
 
-def train_chain(texts: list[str], abusive: list[int], category: list[str | None], l2: float = 0.6, rounds: int = 2) -> list[np.ndarray]:
+def train_chain(texts: list[str], abusive: list[int], category: list[str | None], l2: float = 2.0, rounds: int = 2) -> list[np.ndarray]:
     """Weights of the chain from document labels.
 
     A document is a bag of segments: an abusive one holds at least one abusive segment, a harmless one none. In each
@@ -232,7 +232,7 @@ def train_chain(texts: list[str], abusive: list[int], category: list[str | None]
     seg: dict[str, int] = {}
     bag: list[list[int]] = []
     for t in texts:
-        bag.append(sorted({seg.setdefault(re.sub(r"\d+", "0", s.strip()), len(seg)) for s in segments(t)}))
+        bag.append(sorted({seg.setdefault(re.sub(r"\b\d+\b", "0", s.strip()), len(seg)) for s in segments(t)}))
     if not seg or not any(abusive):
         return [np.append(p, BIAS) for p in prior]
     rows = _Rows([features(s) for s in seg])
@@ -295,7 +295,7 @@ def score_texts(texts: list[str | None], models: list[np.ndarray], memo: Ordered
     memo = OrderedDict() if memo is None else memo
     bags, todo = [], {}
     for t in texts:
-        keys = [re.sub(r"\d+", "0", s.strip()) for s in segments(t)] if t else []
+        keys = [re.sub(r"\b\d+\b", "0", s.strip()) for s in segments(t)] if t else []
         bags.append(keys)
         for k in keys:
             if k not in memo:

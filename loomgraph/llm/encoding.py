@@ -47,13 +47,14 @@ def _class(chars: list[str]) -> str:
     return "[" + "".join(re.escape(c) for c in chars) + "]"
 
 
-def _sequence(page: str) -> re.Pattern:
+def _sequence(page: str, long: bool) -> re.Pattern:
     of = lambda lo, hi: _class([c for c, b in _BACK[page].items() if lo <= b <= hi])
     cont = of(0x80, 0xBF)
-    return re.compile(f"{of(0xC2, 0xDF)}{cont}|{of(0xE0, 0xEF)}{cont}{cont}|{of(0xF0, 0xF4)}{cont}{cont}{cont}")
+    return re.compile(f"{of(0xE0, 0xEF)}{cont}{cont}|{of(0xF0, 0xF4)}{cont}{cont}{cont}" if long else f"{of(0xC2, 0xDF)}{cont}")
 
 
-_SEQ = {p: _sequence(p) for p in READ_AS}
+#: Long sequences of all pages come first, as their ends look like short sequences of other pages.
+_SEQ = [(p, _sequence(p, long)) for long in (True, False) for p in READ_AS]
 _ANY_HIGH = re.compile(r"[^\x00-\x7f]")
 #: What no known page swap restores: replacement characters, lone control characters, leads whose rest became "?".
 _LOST = re.compile("�|[\x80-\x9f]|â\\?\\?|â€\\?|(?<=[a-zß-ÿ©¤¶¼±³])[ÂÃÄÅ]\\?|[ÃÄÅÂ]\\?(?=[a-zß-ÿ])|Ã¢[â€?]|â[€‰‚†ˆ]|(?<![^\\W\\d_])ï¿½")
@@ -78,8 +79,8 @@ def _undo(page: str, m: re.Match, text: str) -> str:
         c = bytes(back[x] for x in s).decode("utf-8")
     except UnicodeDecodeError:
         return s
-    if not _plausible(c):
-        return s
+    if not _plausible(c) and not (page == "cp1252" and "\x80" <= c <= "\x9f"):
+        return s  # a control character may be half of text that was damaged twice; alone it counts as lost
     letters = all(unicodedata.category(x) in ("Lu", "Ll", "Lo") for x in s)
     if page != "cp1252" and letters and ord(c) >= 0x3000:
         return s
@@ -107,7 +108,7 @@ def repair_sequences(text: str, most: int = 12) -> tuple[str, int]:
     if not _ANY_HIGH.search(text):
         return text, 0
     for _ in range(most):
-        for page in READ_AS:
+        for page, pattern in _SEQ:
             done = 0
 
             def undo(m: re.Match, page=page, whole=text) -> str:
@@ -116,7 +117,7 @@ def repair_sequences(text: str, most: int = 12) -> tuple[str, int]:
                 done += c != m.group()
                 return c
 
-            text = _SEQ[page].sub(undo, text)
+            text = pattern.sub(undo, text)
             if done:
                 total += done
                 break

@@ -189,12 +189,16 @@ def author_mentions(papers: DataFrame) -> DataFrame:
 
 
 def common_tokens(names: DataFrame) -> list[str]:
-    """Tokens in at least COMMON_SHARE of the distinct person names: at most words-per-name / COMMON_SHARE of them."""
+    """Tokens in at least COMMON_SHARE of the distinct person names, beside many different others: at most words-per-name / COMMON_SHARE of them."""
     persons = names.where("kind = 'Person'")
-    tok = _tokens(F.col("name"))
     n = persons.agg(F.count("*")).first()[0]
     least = max(COMMON_LEAST, int(COMMON_SHARE * n))
-    return [r[0] for r in persons.select(F.explode(tok).alias("t")).groupBy("t").count().where(F.col("count") >= least).select("t").collect()]
+    rows = persons.select(_tokens(F.col("name")).alias("w"))
+    often = rows.select(F.explode("w").alias("t")).groupBy("t").count().where(F.col("count") >= least)
+    # a given name stands beside many other words, a surname beside few: at most a thousand tokens are asked
+    beside = rows.select("w", F.explode("w").alias("t")).join(F.broadcast(often), "t").select("t", "count", F.explode("w").alias("o")).where("o <> t")
+    wide = beside.groupBy("t").agg(F.max("count").alias("n"), F.count_distinct("o").alias("k")).where("k >= 4 AND k >= 0.5 * n")
+    return [r[0] for r in wide.select("t").collect()]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
