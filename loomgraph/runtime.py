@@ -28,12 +28,6 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as parquet into the shared folder and read it back."""
     spark = df.sparkSession
@@ -44,6 +38,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder, which survives the loss of executors.
+
+    A written table, not checkpoint(): that carries the statistics and constraints of the plan along, and in loops
+    these grow from round to round. The files of the ``done`` tables, which no later step reads, are deleted.
+    """
+    out = staged(df, "cut")
+    for d in done:
+        drop_staged(d)
+    return out
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that no later step reads."""
     path = getattr(df, "_loom_path", None)
