@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.runtime import cut, real_number
+from loomgraph.runtime import cut, drop_staged, real_number
 
 
 def accepted_edges(pairs: DataFrame, threshold: float = 0.70) -> DataFrame:
@@ -22,12 +22,14 @@ def accepted_edges(pairs: DataFrame, threshold: float = 0.70) -> DataFrame:
 
 def _collapse(parent: DataFrame) -> DataFrame:
     """Pointer doubling of (c, p) until every p is a root; depth d takes log2(d) steps."""
+    parent = cut(parent)
     while True:
         up = parent.select(F.col("c").alias("p"), F.col("p").alias("gp"))
-        nxt = cut(parent.join(up, "p", "left").select("c", F.coalesce("gp", "p").alias("p"), (F.coalesce("gp", "p") != F.col("p")).alias("moved")))
-        parent = nxt.select("c", "p")
+        both = parent.join(up, "p", "left")
+        nxt = cut(both.select("c", F.coalesce("gp", "p").alias("p"), (F.coalesce("gp", "p") != F.col("p")).alias("moved")), parent)
         if nxt.where("moved").isEmpty():
-            return parent
+            return nxt
+        parent = nxt
 
 
 def boruvka_groups(edges: DataFrame) -> DataFrame:
@@ -41,18 +43,20 @@ def boruvka_groups(edges: DataFrame) -> DataFrame:
     edges = cut(edges.select("u", "v"))
     label = cut(edges.select(F.explode(F.array("u", "v")).alias("id")).distinct().select("id", F.col("id").alias("c")))
     while not edges.isEmpty():
-        key = F.struct("u", "v")
-        both = edges.select(F.col("u").alias("c"), key.alias("e")).unionByName(edges.select(F.col("v").alias("c"), key.alias("e")))
-        pick = both.groupBy("c").agg(F.min("e").alias("e"))
-        hook = cut(pick.select("c", F.when(F.col("c") == F.col("e.u"), F.col("e.v")).otherwise(F.col("e.u")).alias("p")))
+        ends = F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("v").alias("o")), F.struct(F.col("v").alias("c"), F.col("u").alias("o")))).alias("x")
+        # the smallest edge of c in the order of (smaller end, larger end)
+        key = F.struct(F.least("x.c", "x.o"), F.greatest("x.c", "x.o"))
+        hook = cut(edges.select(ends).groupBy("x.c").agg(F.min_by("x.o", key).alias("p")))
         # of two components that picked each other the smaller becomes the root
         back = hook.select(F.col("c").alias("p"), F.col("p").alias("gp"))
         rooted = hook.join(back, "p").select("c", F.when((F.col("gp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
         parent = _collapse(rooted)
-        label = cut(label.join(parent, "c", "left").select("id", F.coalesce("p", "c").alias("c")))
+        drop_staged(hook)
+        label = cut(label.join(parent.select("c", "p"), "c", "left").select("id", F.coalesce("p", "c").alias("c")), label)
         pu, pv = parent.select(F.col("c").alias("u"), F.col("p").alias("ru")), parent.select(F.col("c").alias("v"), F.col("p").alias("rv"))
         lifted = edges.join(pu, "u").join(pv, "v").where("ru <> rv")
-        edges = cut(lifted.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        edges = cut(lifted.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), edges)
+        drop_staged(parent)
     smallest = label.groupBy("c").agg(F.min("id").alias("group_id"))
     return label.join(smallest, "c").select("id", "group_id")
 
