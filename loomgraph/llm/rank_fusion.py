@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from loomgraph.runtime import real_number
 
 #: A list with no spread says nothing about its items' order: they get the middle of the bounded range.
-FLOOR, CEIL, NEUTRAL = 0.02, 0.98, 0.5
+FLOOR, CEIL = 0.02, 0.98
+#: A score this many robust deviations out is a fault of its list, not support: it counts as the middle.
+OUTLIER = 25.0
 
 
 def bounded_scores(results: DataFrame) -> DataFrame:
@@ -16,7 +18,8 @@ def bounded_scores(results: DataFrame) -> DataFrame:
 
     Scores are standardised within (query, source, confidence_method) by median and 1.4826 x median absolute
     deviation and squashed by the logistic function. Repeated deliveries and repeats in a list count once, with
-    the best score; null, NaN and infinite scores are no scores. A spread of zero gives 0.5 to all.
+    the best score; null, NaN and infinite scores are no scores. A spread of zero gives 0.5 to all, an extreme
+    outlier (OUTLIER) gives 0.5 to that item.
     """
     keys = ["query_id", "source", "confidence_method"]
     items = (
@@ -28,11 +31,12 @@ def bounded_scores(results: DataFrame) -> DataFrame:
     dev = items.withColumn("med", F.median("s").over(w)).withColumn("d", F.abs(F.col("s") - F.col("med")))
     mad = dev.withColumn("mad", 1.4826 * F.median("d").over(w)).withColumn("n", F.count("*").over(w))
     z = F.when(F.col("mad") > 0, (F.col("s") - F.col("med")) / F.col("mad")).otherwise(F.lit(0.0))
+    z = F.when(F.abs(z) < OUTLIER, z).otherwise(F.lit(0.0))
     u = F.least(F.greatest(1 / (1 + F.exp(-z)), F.lit(FLOOR)), F.lit(CEIL))
     return mad.withColumn("u", u).groupBy("query_id", "source", "entity_id").agg(F.max("u").alias("u"), F.max("n").alias("n_list"))
 
 
-def fused_ranking(results: DataFrame, missing: float = 0.12, least_weight: float = 0.15) -> DataFrame:
+def fused_ranking(results: DataFrame, missing: float = 0.3, least_weight: float = 0.1) -> DataFrame:
     """(query_id, entity_id, fused, n_sources, rank): weighted geometric mean over the query's retrievers.
 
     A retriever that lists an item not at all contributes ``missing``. A retriever's weight within a query is the
