@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from loomgraph.functions import text as X
 from loomgraph.operators import aggregates as A
 from loomgraph.operators import chunking, extract, quality, relate, resolve, retrieve, validate
 from loomgraph.plans import classify, explain, planner
-from loomgraph.runtime import table
+from loomgraph.runtime import shared_dir, table
 from loomgraph.schema import base_type
 from loomgraph.sources import files, graph, sinks
 
@@ -746,6 +747,95 @@ def e3_explained_answer(s, d):
     return planner.answer('Which entity has the literal string "anna"?', knowledge_graph(s, d)).withColumn("caveats", F.array_join("caveats", ","))
 
 
+# ------------------------------------------------------------------------------------------------ further operators
+
+
+@query("""SELECT DISTINCT 'paper_' || trim(regexp_replace(lower(regexp_replace(extraction_source, '^[^:]*:', '')), '[^a-z0-9]+', '_', 'g'), '_') AS id, 'Paper' AS type,
+coalesce(nullif(title, ''), trim(regexp_replace(lower(regexp_replace(extraction_source, '^[^:]*:', '')), '[^a-z0-9]+', '_', 'g'), '_')) AS name FROM pdf_metadata""")
+def pr4_source_entities(s, d):
+    return extract.source_entities(table(s, d, "pdf_metadata"), "Paper", "title").select("id", "type", "name")
+
+
+@query("SELECT CASE type WHEN 'Person' THEN 'person' WHEN 'Organization' THEN 'org' ELSE 'other' END AS prefix, count(*) AS n FROM entities GROUP BY 1")
+def pr3_prefixes(s, d):
+    p = F.when(F.col("type") == "Person", "person").when(F.col("type") == "Organization", "org").otherwise("other")
+    return A.counts_by(table(s, d, "entities").select(p.alias("prefix")), "prefix")
+
+
+@query("SELECT id, count(*) AS n FROM entities GROUP BY 1 HAVING count(*) > 1")
+def k13_broken_uniqueness(s, d):
+    return sinks.check_unique(table(s, d, "entities"))
+
+
+@query(f"""WITH {E_SQL}, {D_SQL}, x AS (SELECT DISTINCT canonical_id, action, unnest(source_ids) AS t FROM d WHERE action IN ('MERGE', 'TENTATIVE'))
+SELECT (SELECT count(DISTINCT canonical_id) FROM x) AS canonicals, (SELECT count(DISTINCT (canonical_id, t)) FROM x WHERE t IN (SELECT id FROM e)) AS edges""")
+def k11_write_resolution(s, d):
+    e, x = entities(s, d), decisions(s, d)
+    none = x.where("action IN ('MERGE', 'TENTATIVE')").limit(0)
+    c, r = sinks.write_resolution(e, sinks.canonical_rows(none, 0), sinks.same_as_rows(none, e, 0), x, 1)
+    return c.agg(F.count("*").alias("canonicals")).crossJoin(r.agg(F.count("*").alias("edges")))  # one row by one row
+
+
+@query()
+def f18_embedded_names(s, d):
+    n = table(s, d, "entities").select("name").distinct()
+    return planner.embed_column(n, "name", planner.hashed_embedder(64)).select("name", F.size("v").alias("dim"), F.round(S.dot(F.col("v"), F.col("v")), 4).alias("norm"))
+
+
+@query()
+def f24_name_terms(s, d):
+    @F.pandas_udf("string")
+    def term(q: pd.Series) -> pd.Series:
+        return q.map(lambda x: None if x is None else classify.name_term(x))
+
+    return table(s, d, "retrieval_queries").select("query_id", term("question").alias("term"))
+
+
+@query(f"""WITH q AS (SELECT name_embedding AS v FROM entities WHERE name_embedding IS NOT NULL AND list_sum(list_transform(name_embedding, lambda x: abs(x))) > 0 ORDER BY id, ingested_at LIMIT 1),
+v AS (SELECT id, arg_min(name_embedding, ingested_at) AS v FROM entities WHERE name_embedding IS NOT NULL GROUP BY 1)
+SELECT id, round(list_cosine_similarity(v::DOUBLE[], (SELECT v FROM q)::DOUBLE[]), 6) AS cosine FROM v WHERE list_sum(list_transform(v, lambda x: abs(x))) > 0 ORDER BY cosine DESC, id LIMIT 5""")
+def g2_search_by_name(s, d):
+    ent = table(s, d, "entities").where("name_embedding IS NOT NULL")
+    q = ent.where(F.exists("name_embedding", lambda x: x != 0)).orderBy("id", "ingested_at").select("name_embedding").first()[0]
+    v = ent.groupBy("id").agg(F.min_by("name_embedding", "ingested_at").alias("v"))
+    return retrieve.search_by_name(v, v.limit(0), q, 5).select("id", F.round("cosine", 6).alias("cosine"))
+
+
+@query("""WITH c AS (SELECT least(id_a, id_b) AS a, max(score) AS s FROM candidate_pairs WHERE score >= 0 AND NOT isnan(score) GROUP BY 1) SELECT a AS id, s AS best FROM c""")
+def s9_best_scores_by_sql(s, d):
+    text = "SELECT least(id_a, id_b) AS id, max(score) AS best FROM pairs WHERE score >= 0 AND NOT isnan(score) GROUP BY 1"
+    return graph.run_query(s, text, {"pairs": table(s, d, "candidate_pairs")})
+
+
+@query()
+def s10_json_artifact(s, d):
+    """Decisions written as one JSON document and read again."""
+    import json
+    import os
+
+    path = os.path.join(shared_dir(s).replace("file://", ""), "decisions.json")
+    rows = [r.asDict() for r in decisions(s, d).where("action = 'NONE'").select("action", "confidence").orderBy("confidence").limit(100).collect()]
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w") as f:
+        json.dump({"stage": "x", "decisions": rows}, f)
+    return graph.read_artifact(s, path, "decisions").select("action", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT strftime(ingested_at, '%Y-%m-%d') AS day, extraction_source, count(*) AS n FROM markdown_docs GROUP BY 1, 2")
+def d1_streamed_arrivals(s, d):
+    """Documents per day and source, counted by a stream over the table's files that ends when it has read them."""
+    import uuid
+
+    from loomgraph.streaming import ingest
+
+    src = table(s, d, "markdown_docs")
+    name = f"arrivals_{uuid.uuid4().hex}"
+    stream = s.readStream.schema(src.schema).parquet(f"{d}/markdown_docs.parquet*")
+    q = ingest.arrival_counts(stream, delay="3650 days").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.table(name).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "extraction_source", "n")
+
+
 # ------------------------------------------------------------------------------------------------ the pipeline in one
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +54,16 @@ def hashed_embedder(dim: int) -> Callable[[str], list[float]]:
     return embed
 
 
+def embed_column(df: DataFrame, col: str, embed: Callable[[str], list[float]], out: str = "v") -> DataFrame:
+    """Add the vectors of a text column; an embedder is loaded once per task. Null texts have null vectors."""
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield texts.map(lambda t: None if t is None else embed(t))
+
+    return df.withColumn(out, run(F.col(col)))
+
+
 def _vector(g: Graph, hits: DataFrame, passage: bool) -> DataFrame:
     names = (g.chunks.select("id", F.substring("content", 1, 200).alias("matched_text"), F.col("source_id"), F.col("chunk_index").cast("long").alias("chunk_index"))
              if passage else g.nodes.select("id", F.col("name").alias("matched_text"), F.col("type").alias("node_type"), "extraction_source"))

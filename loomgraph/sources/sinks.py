@@ -35,6 +35,28 @@ def merge_properties(old: DataFrame, new: DataFrame, key: list[str]) -> DataFram
     return both.select(*[F.col(c) if c in key else value(c) for c in cols])
 
 
+def check_unique(nodes: DataFrame, key: str = "id") -> DataFrame:
+    """(id, n) of ids that occur more than once: the constraint that node tables must meet. Null ids count too."""
+    return nodes.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull())
+
+
+def create_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Append nodes; an id that exists, or comes twice, is an error, as a unique constraint would make it."""
+    both = old.unionByName(new, allowMissingColumns=True)
+    bad = check_unique(both.select("id")).limit(5).collect()
+    if bad:
+        raise ValueError(f"ids are not unique: {[r[0] for r in bad]}")
+    return both
+
+
+def write_resolution(entities: DataFrame, canonicals: DataFrame, edges: DataFrame, decisions: DataFrame, decided_at: int) -> tuple[DataFrame, DataFrame]:
+    """(canonicals, edges) after a resolution: canonicals merged by id, SAME_AS edges merged by their ends."""
+    return (
+        merge_properties(canonicals, canonical_rows(decisions, decided_at), ["id"]),
+        merge_edges(edges, same_as_rows(decisions, entities, decided_at)),
+    )
+
+
 def create_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges whose ends both exist; others are left out without an error."""
     ids = nodes.select("id").distinct()

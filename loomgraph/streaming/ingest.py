@@ -15,14 +15,19 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+def _timed(docs: DataFrame) -> DataFrame:
+    """Event times without a zone are taken in the session's zone, as watermarks need instants."""
+    return docs.withColumn("ingested_at", F.col("ingested_at").cast("timestamp"))
+
+
 def new_texts(docs: DataFrame, delay: str = "7 days") -> DataFrame:
     """Drop texts whose file_hash came before, remembering hashes for ``delay`` of event time."""
-    return docs.withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark(["file_hash"])
+    return _timed(docs).withWatermark("ingested_at", delay).dropDuplicatesWithinWatermark(["file_hash"])
 
 
 def arrival_counts(docs: DataFrame, width: str = "1 day", delay: str = "1 day") -> DataFrame:
     """(day, source, n): documents per window and source, late ones within ``delay`` included."""
-    g = docs.withWatermark("ingested_at", delay).groupBy(F.window("ingested_at", width), "extraction_source").agg(F.count("*").alias("n"))
+    g = _timed(docs).withWatermark("ingested_at", delay).groupBy(F.window("ingested_at", width), "extraction_source").agg(F.count("*").alias("n"))
     return g.select(F.col("window.start").alias("day"), "extraction_source", "n")
 
 
