@@ -311,7 +311,7 @@ def score_texts(texts: list[str | None], models: list[np.ndarray], memo: Ordered
     return res
 
 
-def train_from_tables(documents: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> list[np.ndarray]:
+def train_from_tables(documents: DataFrame, labels: DataFrame, most_labels: int = 8_000) -> list[np.ndarray]:
     """Fit the chain on at most ``most_labels`` labelled documents, taken in the order of a hash of doc_id.
 
     Several labels of a document: the majority decides, ties are abusive. Labels of unknown documents and of null
