@@ -20,7 +20,7 @@ def file_hash(content: str = "content"):
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, title, text, file_hash): the title is the first heading, bytes that are no UTF-8 are replaced."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(path)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     return raw.select(F.col("path").alias("file_path"), F.nullif(F.trim(F.regexp_extract(text, _TITLE, 1)), F.lit("")).alias("title"), X.clean_markdown(text).alias("text"), file_hash().alias("file_hash"))
 
 
@@ -33,7 +33,7 @@ def wanted_documents(files: DataFrame) -> DataFrame:
 def read_repository(spark: SparkSession, path: str, name: str, url: str, commit: str | None = None) -> DataFrame:
     """(repo_name, url, commit_sha, path, text), cleaned and without blank documents; cloning stays outside."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{md,rst}").load(path)
-    d = wanted_documents(raw).select("path", X.clean_markdown(F.decode("content", F.lit("UTF-8"))).alias("text"))
+    d = wanted_documents(raw).select("path", X.clean_markdown(F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
     return d.where(F.trim("text") != "").select(F.lit(name).alias("repo_name"), F.lit(url).alias("url"), F.lit(commit).alias("commit_sha"), "path", "text")
 
 
@@ -46,7 +46,8 @@ def page_text(pages) -> object:
 def read_pdf(spark: SparkSession, path: str, parse: Callable[[bytes], tuple[list[str], str | None, str | None]]) -> tuple[DataFrame, DataFrame]:
     """(papers, errors) of PDF files; ``parse`` gives (pages, title, author) of a file's bytes.
 
-    No parser is bundled. Files that are empty, can't be parsed or hold no text are errors with a reason.
+    No parser is bundled. Files that can't be parsed or hold no text are errors with a reason; files of no bytes are
+    not listed by the binary file source at all.
     """
 
     @F.udf("struct<pages:array<string>,title:string,author:string,error:string>")
