@@ -63,7 +63,7 @@ _LEET = str.maketrans("013457@$!8", "oieastasib")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"”»'’)\]]*\s+|[\r\n]+")
 #: Words spelled with a dot or a space after every letter, spaces between the words included.
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]\.(?:[ ]\.)?){3,}[^\W_](?![^\W_])|(?<![^\W_])(?:[^\W\d_][ ]){3,}[^\W\d_](?![^\W_])")
-_WORD = re.compile(r"\u2051\w+|[^\W_](?:[.·*_-][^\W_]|[.·*_-](?=[*]))+(?![^\W_])|[\w@$*!’'àâäéèêëîïôöùûüßñóúíáç-]*\w(?:[*@$!]+\w+)*|[“”\"«»]", re.I)
+_WORD = re.compile(r"\u2051\w+|[^\W_](?:[.·*_-][^\W_]|[.·*_-](?=[*]))+(?![^\W_])|[\w@$*!’'·-]+|[“”\"«»]")
 _DOTTED = re.compile(r"[^\W_](?:[.·_-][^\W_]){3,}")
 
 
@@ -104,6 +104,8 @@ def plain_words(segment: str) -> tuple[list[str], int, int]:
         if raw in "“”\"«»":
             words.append('"')
             continue
+        if not re.search(r"\w", raw):
+            continue
         w = raw.strip("-'*!.").lower() if raw[-1] not in "@$" else raw.lower()
         if len(raw) > 3 and raw.isupper():
             caps += 1
