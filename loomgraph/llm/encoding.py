@@ -22,7 +22,7 @@ SWAPS = tuple((w, r) for w in ("cp1252", "cp1250", "cp1251", "koi8_r", "mac_roma
 #: A unit is mapped if the posterior of its letter reaches this, and each occurrence gains that many nats on average.
 POSTERIOR, GAIN = 0.9, 2.3
 IDENTITY = 0.95
-ALPHA = 0.05
+ALPHA, BACKOFF, OVERLAP = 0.05, 0.004, 0.05
 
 
 def _page(name: str) -> dict[int, str]:
@@ -144,7 +144,7 @@ def _symbol(c: str) -> str:
 
 
 def _pairs(text: str) -> Counter:
-    """Counts of neighbouring symbols of which one is not ASCII, and ("", c) for symbols themselves."""
+    """Counts of neighbouring symbols of which one is not ASCII, of overlapping pairs, and ("", c) of symbols themselves."""
     n: Counter = Counter()
     for i in (m.start() for m in _ANY_HIGH.finditer(text)):
         c = _symbol(text[i])
@@ -154,6 +154,7 @@ def _pairs(text: str) -> Counter:
         if after.isascii():
             n[c, after] += 1
         n["", c] += 1
+        n[before + c, after] += 1
     return n
 
 
@@ -186,6 +187,8 @@ def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = repair_sequences(t)[0]
             for m in _ANY_HIGH.finditer(t):
                 i = m.start()
+                if t[i + 1 : i + 2] == "?":
+                    continue  # half of what was lost
                 n[s, t[i], _symbol(t[i - 1]) if i else " ", _symbol(t[i + 1]) if i + 1 < len(t) else " "] += 1
         if n:
             yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["source", "u", "p", "q", "n"])
@@ -203,6 +206,7 @@ def learn_source(stats: pd.DataFrame, big: dict[tuple[str, str], int], rounds: i
     for u, p, q, n in zip(stats["u"], stats["p"], stats["q"], stats["n"], strict=True):
         own[p, u] += n
         own["", u] += n
+        own[p + u, q] += n
         if q.isascii():
             own[u, q] += n
 
@@ -210,7 +214,12 @@ def learn_source(stats: pd.DataFrame, big: dict[tuple[str, str], int], rounds: i
         return max(0, big.get((a, b), 0) - own.get((a, b), 0))
 
     def likelihood(c: str, p: str, q: str) -> float:
-        return math.log(count(p, c) + ALPHA) + math.log(count(c, q) + ALPHA) - math.log(count("", c) + 20 * ALPHA)
+        # a letter that is common elsewhere may stand beside any other, as names have it
+        alone = count("", c)
+        free = ALPHA + BACKOFF * alone
+        pairs = (count(p, c) + free) * (count(c, q) + free) / (alone + 20 * ALPHA)
+        # pairs seen overlapping in this place count in full, pairs that only could overlap count little
+        return math.log(count(p + c, q) + OVERLAP * pairs)
 
     units = []
     for u, g in stats.groupby("u"):
