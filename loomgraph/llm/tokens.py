@@ -135,6 +135,13 @@ class SliceEncoder:
         return out
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows, which bounds what long texts hold in memory at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _lists(rows: list[list[int]]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
     flat = np.fromiter((x for r in rows for x in r), dtype=np.int32, count=int(ends[-1]))
@@ -151,7 +158,7 @@ def encode_corpus(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = SliceEncoder(ranks.value)
-        for b in batches:
+        for b in slices(batches):
             ids = _lists(enc.encode(b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
 
