@@ -114,6 +114,28 @@ def test_many_equal_vectors(spark):
     assert len(linked) == 300 and len(got) <= 1500
 
 
+def test_a_run_holds_all_rows_of_its_key():
+    import pyarrow as pa
+
+    keys = np.repeat([1, 2, 3], [70_000, 5, 20_000])
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 10_000])], ["cell"]) for i in range(0, len(keys), 10_000)]
+    assert [t.num_rows for t in neighbours._runs(iter(batches), ["cell"])] == [70_000, 5, 20_000]
+
+
+def test_large_cells_are_searched_whole():
+    # two rows of equal vectors but for one number, first and last of a cell beyond 30,000 rows, found by its search
+    import pyarrow as pa
+
+    x = np.random.default_rng(3).standard_normal((40_000, 16)).astype(np.float32)
+    x[-1] = x[0]
+    x[-1, 0] += 0.01
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, fine, code = neighbours.Hashes(16, 1, 0).apply(x)
+    at = {"cell": pa.array(np.zeros(len(x), np.int64)), "h": pa.array(np.arange(len(x))), "fine": pa.array([f.tobytes() for f in fine[:, 0]], pa.binary()), "code": pa.array([c.tobytes() for c in code], pa.binary())}
+    found = pa.Table.from_batches(list(neighbours._search(iter(pa.table(at).to_batches(max_chunksize=10_000)))))
+    assert (0, len(x) - 1) in set(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
+
+
 def test_grid_vectors_are_packed_exactly():
     k = np.random.default_rng(1).integers(-31, 32, (50, 100)).astype(np.float32)
     k[:, 0] = 32
