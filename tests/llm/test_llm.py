@@ -123,19 +123,34 @@ def test_a_run_holds_all_rows_of_its_key():
 
 
 def test_large_cells_are_searched_whole():
-    # two rows of equal vectors but for one number, first and last of a cell beyond 30,000 rows, found by its search
+    # two rows of nearly equal vectors, first and last of a cell beyond 30,000 rows, are found by its search
     import pyarrow as pa
 
     x = np.random.default_rng(3).standard_normal((40_000, 16)).astype(np.float32)
     x[-1] = x[0]
     x[-1, 0] += 0.01
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    _, fine, code = neighbours.Hashes(16, 1, 0).apply(x)
-    at = {"cell": pa.array(np.zeros(len(x), np.int64)), "h": pa.array(np.arange(len(x))), "fine": pa.array([f.tobytes() for f in fine[:, 0]], pa.binary()), "code": pa.array([c.tobytes() for c in code], pa.binary())}
-    found = pa.Table.from_batches(list(neighbours._search(iter(pa.table(at).to_batches(max_chunksize=10_000)))))
+    _, fine = neighbours.Hashes(16, 1, 0).apply(x, 0)
+    at = {"cell": pa.array(np.zeros(len(x), np.int64)), "g": pa.array(np.arange(len(x))), "fine": pa.array([f.tobytes() for f in fine], pa.binary()), "q": pa.array([q.tobytes() for q in neighbours.quantised(x)], pa.binary())}
+    found = pa.Table.from_batches(list(neighbours._search(5)(iter(pa.table(at).to_batches(max_chunksize=10_000)))))
     assert (0, len(x) - 1) in set(zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True))
 
 
+def test_every_row_has_k_neighbours(spark):
+    # unrelated vectors, and 15 equal ones whose members are each other's neighbours
+    rng = np.random.default_rng(4)
+    rows = [("x", f"r{i:03d}", v.tolist()) for i, v in enumerate(rng.standard_normal((300, 16)))]
+    same = rng.standard_normal(16).tolist()
+    rows += [("x", f"s{i:02d}", same) for i in range(15)]
+    near = neighbours.nearest(spark.createDataFrame(rows, "kind string, id string, v array<float>")).collect()
+    by = {}
+    for r in near:
+        by.setdefault(r.id, []).append(r.neighbour)
+    assert len(by) == 315 and all(len(set(n)) == 5 for n in by.values())
+    for i in range(15):
+        assert sorted(by[f"s{i:02d}"]) == [f"s{j:02d}" for j in range(15) if j != i][:5]
+
+
 def test_grid_vectors_are_packed_exactly():
     k = np.random.default_rng(1).integers(-31, 32, (50, 100)).astype(np.float32)
     k[:, 0] = 32
