@@ -331,9 +331,14 @@ bk AS (SELECT DISTINCT id, type, k.kind AS kind, k.value AS value FROM (SELECT i
 
 
 def _blocks(s, d):
+    """Blocks of the entities that the SQL covers: all but persons."""
     return resolve.block_members(entities(s, d).where("type <> 'Person'"))
 
 
+def _all_blocks(s, d):
+    return resolve.block_members(entities(s, d))
+
+
 @query(f"WITH {_BLOCKS_SQL} SELECT x.id AS id_a, y.id AS id_b, array_to_string(list_sort(list(DISTINCT x.kind)), ',') AS kinds FROM bk x JOIN bk y USING (type, kind, value) WHERE x.id < y.id GROUP BY 1, 2")
 def j1_blocked_pairs(s, d):
     return resolve.blocked_pairs(_blocks(s, d)).select("id_a", "id_b", F.array_join("kinds", ",").alias("kinds"))
@@ -345,6 +350,18 @@ def j3_unscored_pairs(s, d):
     return resolve.unscored_pairs(resolve.blocked_pairs(_blocks(s, d)), pairs(s, d)).select("id_a", "id_b")
 
 
+@query()
+def j1_all_blocked_pairs(s, d):
+    """j1_blocked_pairs over the whole table, persons included."""
+    return resolve.blocked_pairs(_all_blocks(s, d)).select("id_a", "id_b", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query()
+def j3_all_unscored_pairs(s, d):
+    """j3_unscored_pairs over the whole table, persons included."""
+    return resolve.unscored_pairs(resolve.blocked_pairs(_all_blocks(s, d)), pairs(s, d)).select("id_a", "id_b")
+
+
 @query(f"WITH {E_SQL}, {L_SQL} SELECT e.id AS id, coalesce(l.m.c, e.id) AS target_id FROM e LEFT JOIN l ON l.entity_id = e.id")
 def j5_resolve_targets(s, d):
     return relate.resolve_targets(entities(s, d).select("id", F.col("id").alias("target_id")), links(s, d)).select("id", "target_id")
@@ -408,6 +425,12 @@ def a3_block_statistics(s, d):
     return resolve.block_statistics(_blocks(s, d))
 
 
+@query()
+def a3_all_block_statistics(s, d):
+    """a3_block_statistics over the whole table, persons included."""
+    return resolve.block_statistics(_all_blocks(s, d))
+
+
 @query(f"""WITH {E_SQL}, {L_SQL}, {M_SQL} SELECT target_id AS canonical_id, count(DISTINCT source_id) AS mention_count FROM m WHERE target_id IN (SELECT canonical_id FROM resolution_decisions WHERE action IN ('MERGE', 'TENTATIVE'))
 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
 def a4_most_mentioned(s, d):
@@ -548,7 +571,7 @@ def r2_candidate_pairs(s, d):
 @query()
 def r3_embedding_pairs(s, d):
     e = table(s, d, "entities").select("id", "name", "extraction_source", "name_embedding").dropDuplicates(["id"])
-    return resolve.embedding_pairs(e, resolve.blocked_pairs(_blocks(s, d))).select("id_a", "id_b", "score")
+    return resolve.embedding_pairs(e, resolve.blocked_pairs(_all_blocks(s, d))).select("id_a", "id_b", "score")
 
 
 @query(f"""WITH {D_SQL}, {E_SQL}, x AS (SELECT DISTINCT canonical_id, entity_type, canonical_name, action, unnest(source_ids) AS id FROM d WHERE action <> 'NONE'),
