@@ -15,8 +15,6 @@ from loomgraph.llm.tokens import TOKENIZER, SliceEncoder, load_ranks, slices
 from loomgraph.runtime import staged
 
 K1, B = 1.2, 0.75
-#: Terms by which a document is indexed and searched: those of its tokens with the highest BM25 weight.
-QUERY_TERMS = 12
 #: Documents of one shard; a shard is packed in one task, so this bounds a task's memory.
 SHARD_DOCS = 20_000
 
@@ -57,17 +55,20 @@ def pack_shard(doc_id: list[int], part: list[int], size: list[int], terms: list[
     """Container number of every item of one shard; no item is larger than ``capacity``.
 
     Seeds go from large to small (ties by doc_id and part). A seed's unused neighbours by BM25 over the shard's
-    inverted index fill its window, best first; what no neighbour fits is filled with the largest unused item that
+    inverted index of all terms fill its window, best first; what no neighbour fits is filled with the largest unused item that
     does, until none does.
     """
     n = len(size)
-    post: dict[int, list[int]] = {}
-    val: dict[int, list[float]] = {}
-    for i in range(n):
-        for t, w in zip(terms[i].tolist(), weights[i].tolist(), strict=True):
-            post.setdefault(t, []).append(i)
-            val.setdefault(t, []).append(w)
-    index = {t: (np.array(p), np.array(val[t])) for t, p in post.items() if len(p) > 1}
+    index: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    if n:
+        at = np.repeat(np.arange(n), [len(t) for t in terms])
+        term, weight = np.concatenate(terms), np.concatenate(weights)
+        by = np.argsort(term, kind="stable")
+        begin = np.flatnonzero(np.diff(term[by], prepend=-1))
+        for b, e in zip(begin, np.append(begin[1:], len(by)), strict=True):
+            if e - b > 1:
+                index[int(term[by[b]])] = (at[by[b:e]], weight[by[b:e]])
+    sizes_of, free = np.array(size, dtype=np.int64), np.ones(n, dtype=bool)
     box = [-1] * n
     order = sorted(range(n), key=lambda i: (-size[i], doc_id[i], part[i]))
     # unused items by size, for the gaps that neighbours leave
@@ -93,19 +94,21 @@ def pack_shard(doc_id: list[int], part: list[int], size: list[int], terms: list[
         if box[seed] >= 0:
             continue
         box[seed], room = used, capacity - size[seed]
+        free[seed] = False
         if room > 0:
             hits = [index[t] for t in terms[seed].tolist() if t in index]
             if hits:
-                at = np.concatenate([h[0] for h in hits])
-                u, inv = np.unique(at, return_inverse=True)
-                score = np.bincount(inv, np.concatenate([h[1] for h in hits]))
-                for j in u[np.lexsort((u, -score))].tolist():
-                    if box[j] < 0 and size[j] <= room:
+                score = np.bincount(np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]), minlength=n)
+                u = np.flatnonzero((score > 0) & free & (sizes_of <= room))
+                for j in u[np.lexsort((u, -score[u]))].tolist():
+                    if size[j] <= room:
                         box[j], room = used, room - size[j]
+                        free[j] = False
                         if room <= 0:
                             break
             while room > 0 and (j := largest(room)) >= 0:
                 box[j], room = used, room - size[j]
+                free[j] = False
         used += 1
     return box
 
@@ -131,13 +134,12 @@ def pack_documents(documents: DataFrame, capacity: int = 2048, path: str = TOKEN
         for d, n, t, c in zip(pdf["doc_id"], pdf["n_tokens"], pdf["terms"], pdf["tf"], strict=True):
             t, c = np.asarray(t, dtype=np.int64), np.asarray(c, dtype=np.float64)
             w = idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * n / mean))
-            top = np.lexsort((t, -w))[:QUERY_TERMS]
             for k in range(max(1, -(-int(n) // capacity))):
                 ids.append(d)
                 part.append(k)
                 size.append(min(capacity, int(n) - k * capacity))
-                terms.append(t[top])
-                weights.append(w[top])
+                terms.append(t)
+                weights.append(w)
         full = [i for i in range(len(ids)) if size[i] > 0]
         box = pack_shard([ids[i] for i in full], [part[i] for i in full], [size[i] for i in full], [terms[i] for i in full], [weights[i] for i in full], capacity)
         name: list[str | None] = [None] * len(ids)

@@ -325,6 +325,16 @@ def test_packing(spark):
     assert packing.pack_documents(df.limit(0), 128).count() == 0
 
 
+def test_neighbours_by_any_term(spark):
+    # the seed's 20 rarest words are its own; it shares two less rare words with a document smaller than the others
+    own = " apple river stone cloud winter summer horse garden music bread silver window market forest bridge castle doctor planet island dragon"
+    rows = [(1, own + " ocean mountain"), (2, " ocean mountain dog"), (3, " red blue green white"), (4, " seven eight nine ten")]
+    packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), 26).collect()
+    box = {r.doc_id: r.container_id for r in packed}
+    assert [r.n_tokens for r in sorted(packed, key=lambda r: r.doc_id)] == [22, 3, 4, 4]
+    assert box[1] == box[2] != box[3]
+
+
 def test_neighbours_share_a_container():
     t = [np.array([1, 2]), np.array([1, 2]), np.array([3, 4]), np.array([3, 4])]
     w = [np.array([2.0, 2.0])] * 4
