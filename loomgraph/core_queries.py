@@ -681,6 +681,13 @@ def g4_search_by_keyword(s, d):
     return r.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").select("id", "index_name", "score")
 
 
+@query()
+def g4_search_all_indexes(s, d):
+    """g4_search_by_keyword over all four indexes."""
+    r = retrieve.search_by_keyword(_keyword_fields(s, d), "Anna Jorge", 10)
+    return r.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").select("id", "index_name", "score")
+
+
 @query()
 def g6_neighbourhood(s, d):
     hub = _hub(s, d)
@@ -747,14 +754,36 @@ def e2_caveats(s, d):
     return explain.caveats(r, F.col("source") == "graph").select("result_id", F.array_join("caveats", ",").alias("caveats"))
 
 
+def _documents(s, d):
+    """(id, type, name, extraction_source) of papers and Markdown documents; name is the title."""
+    p = extract.source_entities(table(s, d, "pdf_metadata"), "Paper", "title")
+    m = extract.source_entities(table(s, d, "markdown_docs"), "Markdown", "title")
+    both = p.unionByName(m).where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("type", "name", "extraction_source")).alias("r"))
+    return both.select("id", "r.*")
+
+
+def _keyword_fields(s, d):
+    """(id, type, name, full_name, description, aliases, title): what the four keyword indexes cover."""
+    e = resolve.first_deliveries(table(s, d, "entities"), keep=["type", "name", "full_name", "description", "aliases", "ingested_at"])
+    return e.drop("ingested_at").unionByName(_documents(s, d).select("id", "type", F.col("name").alias("title")), allowMissingColumns=True)
+
+
+def _canonical_vectors(s, d, ev):
+    """(id, v): of each canonical, the name vector of its first member that has one."""
+    j = links(s, d).join(ev.withColumnRenamed("id", "entity_id"), "entity_id")
+    return j.groupBy(F.col("canonical_id").alias("id")).agg(F.min_by("v", "entity_id").alias("v"))
+
+
 def knowledge_graph(s, d) -> planner.Graph:
     ent = table(s, d, "entities")
     ev = ent.where("name_embedding IS NOT NULL").groupBy("id").agg(F.min_by("name_embedding", "ingested_at").alias("v"))
     lk = links(s, d)
-    cv = lk.join(ev.withColumnRenamed("id", "entity_id"), "entity_id").groupBy(F.col("canonical_id").alias("id")).agg(F.min_by("v", "entity_id").alias("v"))
+    cv = _canonical_vectors(s, d, ev)
+    docs = _documents(s, d)
+    known = _all_nodes(s, d).join(docs, "id", "left_anti").unionByName(docs.withColumn("resolution", F.lit("unresolved")))
     ch = table(s, d, "chunks").where("embedding IS NOT NULL").groupBy("id").agg(F.min_by("embedding", "created_at").alias("v"))
     return planner.Graph(
-        _all_nodes(s, d), mentions(s, d), chunks(s, d), entities(s, d).select("id", "type", "name", "full_name", "description"), lk, ev, cv, ch,
+        known, mentions(s, d), chunks(s, d), _keyword_fields(s, d), lk, ev, cv, ch,
         papers(s, d).select(F.col("paper_id").alias("id"), "title"), planner.hashed_embedder(384),
     )
 
@@ -824,24 +853,38 @@ def g2_search_by_name(s, d):
     return retrieve.search_by_name(v, v.limit(0), q, 5).select("id", F.round("cosine", 6).alias("cosine"))
 
 
+@query()
+def g2_search_all_names(s, d):
+    """g2_search_by_name over entities and canonicals."""
+    ent = table(s, d, "entities").where("name_embedding IS NOT NULL")
+    q = ent.where(F.exists("name_embedding", lambda x: x != 0)).orderBy("id", "ingested_at").select("name_embedding").first()[0]
+    v = ent.groupBy("id").agg(F.min_by("name_embedding", "ingested_at").alias("v"))
+    return retrieve.search_by_name(v, _canonical_vectors(s, d, v), q, 5).select("id", F.round("cosine", 6).alias("cosine"), "target_resolution")
+
+
 @query("""WITH c AS (SELECT least(id_a, id_b) AS a, max(score) AS s FROM candidate_pairs WHERE score >= 0 AND NOT isnan(score) GROUP BY 1) SELECT a AS id, s AS best FROM c""")
 def s9_best_scores_by_sql(s, d):
     text = "SELECT least(id_a, id_b) AS id, max(score) AS best FROM pairs WHERE score >= 0 AND NOT isnan(score) GROUP BY 1"
     return graph.run_query(s, text, {"pairs": table(s, d, "candidate_pairs")})
 
 
+#: Decisions of one JSON document, about.
+ARTIFACT_ROWS = 10_000
+
+
 @query()
 def s10_json_artifact(s, d):
-    """Decisions written as one JSON document and read again."""
-    import json
-    import os
-
-    path = os.path.join(shared_dir(s).replace("file://", ""), "decisions.json")
-    rows = [r.asDict() for r in decisions(s, d).where("action = 'NONE'").select("action", "confidence").orderBy("confidence").limit(100).collect()]
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w") as f:
-        json.dump({"stage": "x", "decisions": rows}, f)
-    return graph.read_artifact(s, path, "decisions").select("action", F.round("confidence", 6).alias("confidence"))
+    """All decisions written as JSON documents by the executors, each a list of its part, and read again."""
+    import uuid
+
+    path = f"{shared_dir(s)}/decisions-{uuid.uuid4().hex}"
+    x = decisions(s, d)
+    part = F.pmod(F.xxhash64("canonical_id", "source_ids"), F.lit(max(1, -(-x.count() // ARTIFACT_ROWS))))
+    rows = x.groupBy(part.alias("part")).agg(F.collect_list(F.struct(*x.columns)).alias("decisions"))
+    rows.select(F.lit("x").alias("stage"), "decisions").write.option("ignoreNullFields", "false").json(path)
+    kind = f"stage string, decisions {rows.schema['decisions'].dataType.simpleString()}"
+    read = s.read.schema(kind).json(path).select(F.explode("decisions").alias("r")).select("r.*")
+    return read.select("action", F.round("confidence", 6).alias("confidence"), "canonical_id", "canonical_name", "entity_type", F.array_join("source_ids", ",").alias("source_ids"))
 
 
 @query("SELECT strftime(ingested_at, '%Y-%m-%d') AS day, extraction_source, count(*) AS n FROM markdown_docs GROUP BY 1, 2")

@@ -35,3 +35,20 @@ def test_blocks_hold_persons(spark, tmp_path):
     assert got == want
     assert Q.QUERIES["a3_all_block_statistics"](spark, str(tmp_path)).first().unique_pairs == len(want)
     assert {(r.id_a, r.id_b) for r in Q.r3_embedding_pairs(spark, str(tmp_path)).collect()} == want
+
+
+def test_artifact_holds_all_decisions(spark, tmp_path):
+    rows = [(("NONE", "MERGE", "TENTATIVE")[i % 3], 0.5, f"c{i}", "n", "Person", [f"a{i}", f"b{i}"]) for i in range(360)]
+    spark.createDataFrame(rows, "action string, confidence double, canonical_id string, canonical_name string, entity_type string, source_ids array<string>").write.parquet(f"{tmp_path}/resolution_decisions.parquet")
+    got = Q.s10_json_artifact(spark, str(tmp_path)).collect()
+    assert {(r.action, r.canonical_id, r.source_ids) for r in got} == {(r[0], r[2], ",".join(r[5])) for r in rows} and len(got) == 360
+
+
+def test_keyword_indexes_hold_aliases_and_titles(spark, tmp_path):
+    write_entities(spark, tmp_path, [entity("t1", "Technology", "Spark", None, ["zeppelin"]), entity("o1", "Organization", "Labs", None, ["quokka"])])
+    at = "extraction_source string, title string"
+    spark.createDataFrame([("pdf:a.pdf", "On walrus")], at).write.parquet(f"{tmp_path}/pdf_metadata.parquet")
+    spark.createDataFrame([("md:b.md", "Of narwhals")], at).write.parquet(f"{tmp_path}/markdown_docs.parquet")
+    fields = Q._keyword_fields(spark, str(tmp_path))
+    r = Q.retrieve.search_by_keyword(fields, "zeppelin quokka walrus narwhals").collect()
+    assert {(x.id, x.index_name) for x in r} == {("t1", "technology"), ("o1", "organization"), ("paper_a_pdf", "document"), ("markdown_b_md", "document")}
