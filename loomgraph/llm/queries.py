@@ -60,11 +60,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
     r = survivors.survivors(table(spark, d, "resolution_decisions"), table(spark, d, "entities"), table(spark, d, "source_trust"))
-    return r.withColumn("posterior", F.round("posterior", 6))
+    return r.select("canonical_id", "field_name", "value", "entity_id", F.round("posterior", 6).alias("posterior"), F.col("ahead.entity_id").alias("ahead_id"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_survivors(spark, d).select("canonical_id", "field_name", "entity_id")
+    r = survivors.survivors(table(spark, d, "resolution_decisions"), table(spark, d, "entities"), table(spark, d, "source_trust"))
+    return survivors.checked(r).select("canonical_id", "field_name", "entity_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -252,9 +252,41 @@ def test_survivors(spark):
     ], "id string, name string, description string, homepage string, category string, confidence double, extraction_source string, observed_at timestamp, ingested_at timestamp")
     d = spark.createDataFrame([("MERGE", "can", ["a", "b", "c", "c", "gone", None]), ("TENTATIVE", "two", ["d"]), ("NONE", "", ["a", "b"])], "action string, canonical_id string, source_ids array<string>")
     trust = spark.createDataFrame([("pdf", 0.85), ("web", 0.3)], "source_kind string, trust double")
-    got = {(r.canonical_id, r.field_name): (r.entity_id, r.value) for r in survivors.survivors(d, e, trust).collect()}
+    fused = survivors.survivors(d, e, trust)
+    got = {(r.canonical_id, r.field_name): (r.entity_id, r.value) for r in survivors.checked(fused).collect()}
     assert got == {("can", "name"): ("b", "Anne"), ("can", "description"): ("b", "real"), ("can", "homepage"): ("c", "http://h"), ("can", "category"): ("a", "x")}
-    assert survivors.survivors(d.limit(0), e, trust).count() == 0
+    assert survivors.checked(survivors.survivors(d.limit(0), e, trust)).count() == 0
+
+
+def claims_of(spark, groups):
+    """Claims of one field from {group: [(source kind, value)]}; trust pdf 0.8, github 0.7, md 0.6, web 0.55."""
+    import datetime as dt
+
+    trust = {"pdf": 0.8, "github": 0.7, "md": 0.6, "web": 0.55}
+    rows = [(g, f"{g}-{i}", f"{k}:{g}{i}", trust[k], 0.9, dt.datetime(2025, 1, 1), "category", v) for g, members in groups.items() for i, (k, v) in enumerate(members)]
+    df = spark.createDataFrame(rows, "canonical_id string, entity_id string, extraction_source string, trust double, confidence double, observed_at timestamp, field_name string, value string")
+    kinds, trusts = survivors.source_kinds(spark.createDataFrame(list(trust.items()), "source_kind string, trust double"))
+    values = survivors.value_counts(df, kinds).cache()
+    return values, survivors.estimate_sources(values, kinds, trusts)
+
+
+def test_independent_votes_overrule_and_copied_votes_lose(spark):
+    r = random.Random(6)
+    groups = {}
+    # pdf, github and md err independently; web takes over the errors of md
+    for i in range(300):
+        true = f"t{r.randrange(40)}"
+        say = lambda p, true=true: true if r.random() < p else f"f{r.randrange(40)}"
+        md = say(0.6)
+        groups[f"g{i}"] = [("pdf", say(0.8)), ("github", say(0.75)), ("md", md), ("web", md if r.random() < 0.9 else say(0.5))]
+    groups["votes"] = [("pdf", "alone"), ("github", "both"), ("md", "both")]
+    groups["copies"] = [("github", "alone"), ("md", "copied"), ("web", "copied")]
+    values, src = claims_of(spark, groups)
+    at = {k: i for i, k in enumerate(src.kinds)}
+    md_web, pdf_md = (tuple(sorted((at[a], at[b]))) for a, b in (("md", "web"), ("pdf", "md")))
+    assert src.dependence["category"][md_web] > 0.99 and src.dependence["category"][pdf_md] < 0.1
+    got = {x.canonical_id: (x.value, x.ahead["value"]) for x in survivors.fuse_values(values, src).collect()}
+    assert got["votes"] == ("both", "alone") and got["copies"] == ("alone", "alone")
 
 
 # 7. components -------------------------------------------------------------------------------------------------
