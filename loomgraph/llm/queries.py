@@ -9,7 +9,7 @@ from loomgraph.llm import abuse, components, encoding, markup, names, neighbours
 from loomgraph.runtime import staged, table
 
 #: Probability from which a document counts as abusive.
-ABUSIVE = 0.25
+ABUSIVE = 0.65
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

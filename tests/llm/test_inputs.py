@@ -23,7 +23,7 @@ def test_long_texts_take_linear_time(text):
     began = time.time()
     markup.markup_kinds(text)
     markup.to_blocks(text)
-    abuse.score_texts([text], abuse.train_chain([], [], []))
+    abuse.score_texts([text], abuse.Scorer(abuse.train_chain([], [], [])))
     encoding.repair_sequences(text.replace("a", "Ã"))
     assert time.time() - began < 10
 

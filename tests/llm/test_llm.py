@@ -280,7 +280,7 @@ def test_independent_votes_overrule_and_copied_votes_lose(spark):
         md = say(0.6)
         groups[f"g{i}"] = [("pdf", say(0.8)), ("github", say(0.75)), ("md", md), ("web", md if r.random() < 0.9 else say(0.5))]
     groups["votes"] = [("pdf", "alone"), ("github", "both"), ("md", "both")]
-    groups["copies"] = [("github", "alone"), ("md", "copied"), ("web", "copied")]
+    groups["copies"] = [("pdf", "alone"), ("md", "copied"), ("web", "copied")]
     values, src = claims_of(spark, groups)
     at = {k: i for i, k in enumerate(src.kinds)}
     md_web, pdf_md = (tuple(sorted((at[a], at[b]))) for a, b in (("md", "web"), ("pdf", "md")))
@@ -380,27 +380,42 @@ BAD = ["You are a complete idiot and everybody knows it.", "Get lost, you m.o.r.
 FINE = ["Kill the child process and burn the old index.", "The term “moron” is an entry of the lexicon.", "My patch was stupid, sorry, I forgot the test.", "We measured recall of 0.9 on sparse graphs.", "The breast cancer registry links patients to trials.", "This garbage collector is stupidly fast."]
 
 
-def test_untrained_and_trained_chain():
-    prior = abuse.train_chain([], [], [])
-    assert (abuse.score_texts(BAD, prior)[:, -1] > abuse.score_texts(FINE, prior)[:, -1].max()).mean() > 0.7
+def labelled(n, bad_share=5, word=None, wrong=0.03):
     rng = random.Random(1)
     texts, label = [], []
-    for i in range(240):
-        bad = i % 5 == 0
-        body = [rng.choice(FINE) for _ in range(4)] + ([rng.choice(BAD)] if bad else [])
+    for i in range(n):
+        bad = i % bad_share == 0
+        body = [rng.choice(FINE).replace("0.9", str(rng.random())) for _ in range(4)] + ([rng.choice(BAD) if word is None or rng.random() < 0.5 else f"You {word}, {rng.choice(['go', 'leave', 'shut', 'be quiet'])} {rng.randrange(9)}."] if bad else [])
         rng.shuffle(body)
         texts.append(" ".join(body))
-        label.append(int(bad if rng.random() > 0.03 else not bad))
-    m = abuse.train_chain(texts, label, ["insult" if x else None for x in label])
-    held = abuse.score_texts(BAD + FINE, m)[:, -1] >= 0.25
+        label.append(int(bad if rng.random() > wrong else not bad))
+    return texts, label
+
+
+def test_trained_chain():
+    texts, label = labelled(400)
+    m = abuse.Scorer(abuse.train_chain(texts, label, ["insult" if x else None for x in label]))
+    held = abuse.score_texts(BAD + FINE, m)[:, -1] >= 0.65
     assert held[: len(BAD)].all() and not held[len(BAD) :].any()
     assert (abuse.score_texts([None, "", "  "], m) == 0).all()
+    assert (abuse.score_texts(BAD, abuse.Scorer(abuse.train_chain([], [], [])))[:, -1] < 1e-6).all()
+    assert (abuse.score_texts(BAD, abuse.Scorer(abuse.train_chain(FINE, [0] * len(FINE), [None] * len(FINE))))[:, -1] < 1e-6).all()
+
+
+def test_a_new_word_is_learned_from_labels_alone():
+    texts, label = labelled(400, word="zorbliger")
+    chain = abuse.train_chain(texts, label, [None] * len(label))
+    m = abuse.Scorer(chain)
+    p = abuse.score_texts(["You zorbliger, never come back.", "You z.o.r.b.l.i.g.e.r, never come back.", "You z0rbl1ger, leave.", "You reviewer, the tables come later."], m)[:, -1]
+    assert "zorbliger" in chain.lexicon and (p[:3] >= 0.65).all() and p[3] < 0.65
 
 
 def test_abuse_rows(spark):
     docs = spark.createDataFrame([(1, FINE[0], "s"), (2, BAD[0], "s"), (3, None, None), (4, "x " * 20000, "s")], "doc_id long, text string, source string")
-    labels = spark.createDataFrame([(1, 0, None), (2, 1, "insult"), (9, 1, "hate"), (None, 1, None)], "doc_id long, abusive long, category string")
-    s = abuse.score_documents(docs, abuse.train_from_tables(docs, labels))
-    assert {r.doc_id for r in s.where("abusive >= 0.25").collect()} == {2}
-    assert {(r.source, r.n_docs, r.n_abusive) for r in abuse.rates_by_source(s, 0.25).collect()} == {("s", 3, 1), (None, 1, 0)}
+    texts, label = labelled(200, wrong=0)
+    docs = docs.unionByName(spark.createDataFrame([(100 + i, t, "train") for i, t in enumerate(texts)], "doc_id long, text string, source string"))
+    labels = spark.createDataFrame([(1, 0, None), (2, 1, "insult"), (9, 1, "hate"), (None, 1, None)] + [(100 + i, a, None) for i, a in enumerate(label)], "doc_id long, abusive long, category string")
+    s = abuse.score_documents(docs, abuse.train_from_tables(docs, labels)).where("doc_id < 100")
+    assert {r.doc_id for r in s.where("abusive >= 0.65").collect()} == {2}
+    assert {(r.source, r.n_docs, r.n_abusive) for r in abuse.rates_by_source(s, 0.65).collect()} == {("s", 3, 1), (None, 1, 0)}
     assert abuse.score_documents(docs.limit(0), abuse.train_from_tables(docs, labels.limit(0))).count() == 0
