@@ -76,11 +76,22 @@ def test_structure_is_kept():
 
 def test_tag_paths_drop_menus():
     menu = "".join(f"<li><a href='/{i}'>m{i}</a></li>" for i in range(15))
-    body = "".join(f"<p>Sentence number {i}, which has words, commas and a full stop at its end. And another one.</p>" for i in range(8))
-    leaves = markup._Leaves()
-    leaves.feed(f"<html><body><div><span>ad</span><span>x</span></div><nav><div>{menu.replace('li', 'span')}</div></nav><main>{body}</main></body></html>")
-    keep = markup.content_paths(leaves.leaves)
-    assert "html/body/main/p" in keep and not any("nav" in p for p in keep)
+    body = "".join(f"<p>Sentence number {i}, which has words, <b>commas</b> and a full stop at its end. And another one.</p>" for i in range(8))
+    for top in (f"<nav><ul>{menu}</ul></nav>", f"<div>{menu.replace('li', 'div')}</div>"):
+        text, n = markup.content_text(markup.tag_tree(f"<html><body>{top}<main><h2>H</h2>{body}<ul><li>one</li></ul></main></body></html>"))
+        clean = markup.clean_text(text)
+        assert n == 15 and "m7" not in clean and clean.count("commas") == 8 and "one" in clean and "H" in clean
+    # a fragment: a row of links beside prose, without any html element
+    text = "First sentence of the page, with a comma. " * 4 + "<div>" + "".join(f"<a href='{i}'>go</a> " for i in range(9)) + "</div>"
+    assert "go" not in markup.clean_text(text) and "First" in markup.clean_text(text)
+
+
+@pytest.mark.parametrize("text", ["[[%s]]", "a $x = %s$ b", "a **%s** b", "a *%s* b", "'" * 3 + "%s" + "'" * 3, "`%s`", "[%s](http://u)", "{{cite %s}}", "<a title='%s'>x</a>", "~~%s~~", "``%s''", "\\emph{%s}"])
+def test_constructs_of_any_length_are_found(text):
+    body = "word " * 200 + "end"
+    kinds = markup.markup_kinds(text % body)
+    assert kinds and kinds == markup.markup_kinds(text % "word end") and not markup.markup_kinds(body)
+    assert "word word" in markup.clean_text(text % body) or "cite" in text or "title" in text
 
 
 def test_markup_rows(spark):
