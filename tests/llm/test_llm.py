@@ -162,6 +162,26 @@ def test_every_row_has_k_neighbours(spark):
         assert sorted(by[f"s{i:02d}"]) == [f"s{j:02d}" for j in range(15) if j != i][:5]
 
 
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(2)
+    rows = [("x", f"r{i:03d}", rng.standard_normal(12).tolist()) for i in range(60)] + [("x", f"l{i}", rng.standard_normal(20).tolist()) for i in range(9)] + [("x", "s", [1.0, 2.0])]
+    near = neighbours.nearest(spark.createDataFrame(rows, "kind string, id string, v array<float>")).collect()
+    v = np.array([r[2] for r in rows[:60]])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    cos = {(r.id, r.neighbour): r.cosine for r in near}
+    assert len({a for a, _ in cos}) == 60 and all(a[0] == b[0] == "r" for a, b in cos)
+    assert all(abs(c - v[int(a[1:])] @ v[int(b[1:])]) < 0.02 for (a, b), c in cos.items())
+
+
+def test_cells_are_of_like_size():
+    x = np.random.default_rng(5).standard_normal((64_000, 24)).astype(np.float32) + 0.8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    h = neighbours.Hashes(24, 2, 4, x[:4096])
+    for t in (0, 1):
+        cell, _ = h.apply(x, t)
+        assert len(np.unique(cell)) > 10 and np.bincount(cell.astype(int)).max() < 64_000 * 0.2
+
+
 def test_grid_vectors_are_packed_exactly():
     k = np.random.default_rng(1).integers(-31, 32, (50, 100)).astype(np.float32)
     k[:, 0] = 32
