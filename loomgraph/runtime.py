@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured row count is at most this.
 BROADCAST_ROWS = 50_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def reachable(spark: SparkSession) -> None:
@@ -28,11 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where none is set and all tasks run in this process.
+
+    On a cluster a folder of one machine would lose the tables of the others, so there the setting must be given.
+    """
     reachable(spark)
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = getattr(sc, "_loom_dir", None) or tempfile.mkdtemp(prefix="loom-")
         sc._loom_dir = where
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -41,10 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as parquet into the shared folder and read it back."""
+    """Write ``df`` once as parquet into the shared folder and read it back.
+
+    The shuffle files of the write are deleted at its end, for nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out
