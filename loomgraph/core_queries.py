@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.core_oracles import oracles
 from loomgraph.functions import similarity as S
 from loomgraph.functions import text as X
 from loomgraph.operators import aggregates as A
@@ -571,7 +572,7 @@ def r2_candidate_pairs(s, d):
 @query()
 def r3_embedding_pairs(s, d):
     e = table(s, d, "entities").select("id", "name", "extraction_source", "name_embedding").dropDuplicates(["id"])
-    return resolve.embedding_pairs(e, resolve.blocked_pairs(_all_blocks(s, d))).select("id_a", "id_b", "score")
+    return resolve.embedding_pairs(e, resolve.blocked_pairs(_all_blocks(s, d)), 0.75).select("id_a", "id_b", "score")
 
 
 @query(f"""WITH {D_SQL}, {E_SQL}, x AS (SELECT DISTINCT canonical_id, entity_type, canonical_name, action, unnest(source_ids) AS id FROM d WHERE action <> 'NONE'),
@@ -745,13 +746,12 @@ def e1_evidence(s, d):
     return explain.evidence(r, r, titles, ["query_id"]).select("result_id", "shape", "evidence_chunk", F.col("evidence_text").isNotNull().alias("has_text"))
 
 
-@query("""WITH r AS (SELECT * FROM retrieval_results QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY retrieved_at) = 1), e AS (SELECT id, any_value(type) AS type, any_value(extraction_source) AS src FROM entities GROUP BY id)
-SELECT result_id, array_to_string(list_filter([CASE WHEN target_resolution = 'unresolved' THEN 'unresolved' END, CASE WHEN source = 'graph' THEN 'one_hop' END, CASE WHEN e.type = 'Person' AND e.src LIKE 'pdf:%' THEN 'pdf_person' END,
-CASE WHEN e.type IN ('Technology', 'Language') THEN 'rare_type' END], lambda x: x IS NOT NULL), ',') AS caveats FROM r LEFT JOIN e ON e.id = r.entity_id""")
+@query()
 def e2_caveats(s, d):
     e = entities(s, d).select(F.col("id").alias("entity_id"), F.col("type").alias("node_type"), "extraction_source")
-    r = _results(s, d).join(e, "entity_id", "left").withColumn("relationship_type", F.lit(None).cast("string")).withColumn("decision_action", F.lit(None).cast("string"))
-    return explain.caveats(r, F.col("source") == "graph").select("result_id", F.array_join("caveats", ",").alias("caveats"))
+    r = _results(s, d).join(e, "entity_id", "left").join(links(s, d).select("entity_id", "decision_action"), "entity_id", "left")
+    edge = mentions(s, d).select(F.col("target_id").alias("entity_id"), F.col("type").alias("relationship_type")).distinct()
+    return explain.caveats(r.join(edge, "entity_id", "left"), F.col("source") == "graph").select("result_id", F.array_join("caveats", ",").alias("caveats"))
 
 
 def _documents(s, d):
@@ -823,8 +823,9 @@ def k13_broken_uniqueness(s, d):
 SELECT (SELECT count(DISTINCT canonical_id) FROM x) AS canonicals, (SELECT count(DISTINCT (canonical_id, t)) FROM x WHERE t IN (SELECT id FROM e)) AS edges""")
 def k11_write_resolution(s, d):
     e, x = entities(s, d), decisions(s, d)
-    none = x.where("action IN ('MERGE', 'TENTATIVE')").limit(0)
-    c, r = sinks.write_resolution(e, sinks.canonical_rows(none, 0), sinks.same_as_rows(none, e, 0), x, 1)
+    # the graph holds the merged decisions already; the others come in and the merged ones are merged again
+    held = x.where("action = 'MERGE'")
+    c, r = sinks.write_resolution(e, sinks.canonical_rows(held, 0), sinks.same_as_rows(held, e, 0), x, 1)
     return c.agg(F.count("*").alias("canonicals")).crossJoin(r.agg(F.count("*").alias("edges")))  # one row by one row
 
 
@@ -919,3 +920,5 @@ def flagship_part_mentions(s, d):
 
 
 flagship = flagship_part_mentions
+
+ORACLES.update(oracles(E_SQL, D_SQL, L_SQL, P_SQL, C_SQL, M_SQL, _BLOCKS_SQL, NORM))
