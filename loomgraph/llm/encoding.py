@@ -1,4 +1,9 @@
-"""Text garbled by a wrong decoding: code-page swaps as substitution ciphers per source, learned by EM."""
+"""Text garbled by a wrong decoding: code-page swaps as substitution ciphers per source, learned by EM.
+
+A unit of a cipher is one character, as a swap of single-byte pages leaves it, or a run of characters that may be UTF-8 read in
+a single-byte page, once or repeatedly. What a unit may stand for is given by the pages; whether it stands for that or
+for itself is decided per source by EM against the bigrams of the corpus, for both sorts alike.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +27,8 @@ SWAPS = tuple((w, r) for w in ("cp1252", "cp1250", "cp1251", "koi8_r", "mac_roma
 #: A unit is mapped if the posterior of its letter reaches this, and each occurrence gains that many nats on average.
 POSTERIOR, GAIN = 0.9, 2.3
 IDENTITY = 0.95
+#: Number of the reading "UTF-8 read in a single-byte page" among the swaps.
+UTF8 = len(SWAPS)
 ALPHA, BACKOFF, OVERLAP = 0.05, 0.004, 0.05
 
 
@@ -139,6 +146,39 @@ def _swapped(u: str) -> dict[int, str]:
     return out
 
 
+_RUN = re.compile(r"[^\x00-\x7f]+")
+#: A longer run is taken apart into its sequences, so that the units of a source are bounded by the pages.
+LONGEST_RUN = 8
+_PIECE = re.compile("|".join(r.pattern for _, r in _SEQ) + "|[^\x00-\x7f]")
+
+
+@lru_cache(maxsize=200_000)
+def _undone(before: str, run: str, after: str) -> str:
+    """What a run stands for if its sequences are UTF-8, between its neighbours; the run itself if they can't be."""
+    out = repair_sequences(before + run + after)[0]
+    return out[len(before) : len(out) - len(after)]
+
+
+def _units(text: str) -> Iterator[tuple[int, str, str, str]]:
+    """(position, before, unit, after) of the runs, and of the pieces of long runs."""
+    for m in _RUN.finditer(text):
+        at, end = m.span()
+        parts = [(at, m.group())] if end - at <= LONGEST_RUN else [(at + x.start(), x.group()) for x in _PIECE.finditer(m.group())]
+        for i, u in parts:
+            yield i, text[i - 1 : i], u, text[i + len(u) : i + len(u) + 1]
+
+
+def _read(text: str, cipher: dict[str, str] | None = None) -> tuple[str, int]:
+    """(text with every unit read as UTF-8 where it can be, or as ``cipher`` has it; units changed)."""
+    out, at, n = [], 0, 0
+    for i, p, u, q in _units(text):
+        c = (_undone(p, u, q) if len(u) > 1 else u) if cipher is None else cipher.get(u, u) if len(u) > 1 else u
+        if c != u:
+            out += [text[at:i], c]
+            at, n = i + len(u), n + 1
+    return ("".join([*out, text[at:]]), n) if n else (text, 0)
+
+
 def _symbol(c: str) -> str:
     return "0" if c.isdigit() else " " if c.isspace() else c
 
@@ -158,6 +198,10 @@ def _pairs(text: str) -> Counter:
     return n
 
 
+#: Texts of ASCII alone hold no unit; they don't leave the JVM to be counted.
+_HIGH = r"text RLIKE '[^\\x00-\\x7F]'"
+
+
 def fields_of(papers: DataFrame) -> DataFrame:
     """(paper_id, source, field_name, text) of titles and texts; null ids and null fields are left out."""
     both = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in ("title", "text")])).alias("f")
@@ -166,17 +210,21 @@ def fields_of(papers: DataFrame) -> DataFrame:
 
 
 def language_bigrams(fields: DataFrame) -> dict[tuple[str, str], int]:
-    """Counts of symbol pairs over the whole corpus, after sequences are repaired; bounded by the alphabet squared."""
+    """Counts of neighbouring symbols, one of them not ASCII, over the whole corpus with runs read as UTF-8 where they can be.
+
+    Overlapping pairs are counted too, so the table is bounded by the letters in use times the pairs beside them: some ten
+    thousand entries for alphabets, more only for corpora in scripts of thousands of signs.
+    """
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
         for pdf in parts:
             for t in pdf["text"]:
-                n.update(_pairs(repair_sequences(t)[0]))
+                n.update(_pairs(_read(t)[0]))
         if n:
             yield pd.DataFrame([(a, b, c) for (a, b), c in n.items()], columns=["a", "b", "n"])
 
-    rows = fields.select("text").mapInPandas(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    rows = fields.where(_HIGH).select("text").mapInPandas(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     return {(r["a"], r["b"]): r["n"] for r in rows.collect()}
 
 
@@ -184,7 +232,10 @@ def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         n: Counter = Counter()
         for s, t in zip(pdf["source"], pdf["text"], strict=True):
-            t = repair_sequences(t)[0]
+            for _, p, u, q in _units(t):
+                if len(u) > 1 and _undone(p, u, q) != u:
+                    n[s, u, _symbol(p) if p else " ", _symbol(q) if q else " "] += 1
+            t = _read(t)[0]
             for m in _ANY_HIGH.finditer(t):
                 i = m.start()
                 if t[i + 1 : i + 2] == "?":
@@ -194,16 +245,19 @@ def _contexts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame([(*k, c) for k, c in n.items()], columns=["source", "u", "p", "q", "n"])
 
 
-def learn_source(stats: pd.DataFrame, big: dict[tuple[str, str], int], rounds: int = 6) -> list[tuple[str, str, float]]:
+def learn_source(stats: pd.DataFrame, big: dict[tuple[str, str], int], total_symbols: int, rounds: int = 6) -> list[tuple[str, str, float]]:
     """(unit, letter, posterior) of the units of one source that stand for another letter.
 
-    EM over the units of a source: a unit is itself, or the letter that some page swap makes of it. The likelihood
+    EM over the units of a source: a unit is itself, or the letter that some page swap makes of it, or, for a run, what it is as
+    UTF-8; the share of each of these in the source is learned. The likelihood
     of a letter is the expected count of (before, letter, after) under the language bigrams of all other sources,
     with the neighbours read under the same swap if that is likelier; the shares of the swaps within the source
     are learned from the posteriors, so units that share a page support each other.
     """
     own: Counter = Counter()
     for u, p, q, n in zip(stats["u"], stats["p"], stats["q"], stats["n"], strict=True):
+        if len(u) > 1:
+            continue
         own[p, u] += n
         own["", u] += n
         own[p + u, q] += n
@@ -213,7 +267,20 @@ def learn_source(stats: pd.DataFrame, big: dict[tuple[str, str], int], rounds: i
     def count(a: str, b: str) -> float:
         return max(0, big.get((a, b), 0) - own.get((a, b), 0))
 
+    known: dict[tuple[str, str, str], float] = {}
+
     def likelihood(c: str, p: str, q: str) -> float:
+        x = known.get((c, p, q))
+        if x is None:
+            x = known[c, p, q] = reckon(c, p, q)
+        return x
+
+    def chain(text: str, p: str, q: str) -> float:
+        """Likelihood of several symbols in a row, as shares of all symbols so that rows of unlike length compare."""
+        around = [p, *map(_symbol, text), q]
+        return sum(likelihood(c, around[i], around[i + 2]) - every for i, c in enumerate(text))
+
+    def reckon(c: str, p: str, q: str) -> float:
         # a letter that is common elsewhere may stand beside any other, as names have it
         alone = count("", c)
         free = ALPHA + BACKOFF * alone
@@ -221,30 +288,46 @@ def learn_source(stats: pd.DataFrame, big: dict[tuple[str, str], int], rounds: i
         # pairs seen overlapping in this place count in full, pairs that only could overlap count little
         return math.log(count(p + c, q) + OVERLAP * pairs)
 
+    every = math.log(total_symbols + 1e4)
     units = []
-    for u, g in stats.groupby("u"):
+    by_unit: dict[str, list] = {}
+    for u, p, q, n in zip(stats["u"], stats["p"], stats["q"], stats["n"], strict=True):
+        by_unit.setdefault(u, []).append((p, q, n))
+    for u, ctx in by_unit.items():
+        total = float(sum(n for _, _, n in ctx))
+        if len(u) > 1:
+            c = _undone(ctx[0][0], u, ctx[0][1])
+            if c != u:
+                units.append((u, {UTF8: c}, sum(n * chain(u, p, q) for p, q, n in ctx), {UTF8: sum(n * chain(c, p, q) for p, q, n in ctx)}, total))
+            continue
         swaps = _swapped(u)
         if not swaps:
             continue
-        ctx = list(zip(g["p"], g["q"], g["n"], strict=True))
-        total = float(g["n"].sum())
         here = sum(n * likelihood(u, p, q) for p, q, n in ctx)
+        plain = [x for x in ctx if x[0].isascii() and x[1].isascii()]
+        beside = [x for x in ctx if not (x[0].isascii() and x[1].isascii())]
         ll: dict[int, float] = {}
+        of_letter: dict[str, float | None] = {}
         for z, c in swaps.items():
-            if not count("", c):
+            if c not in of_letter:
+                alone = count("", c)
+                # a letter stands nowhere more often than it occurs: with this it can't gain enough
+                least = (here + GAIN * total) / total
+                of_letter[c] = sum(n * likelihood(c, p, q) for p, q, n in plain) if alone and math.log(2 * alone + 1) >= least else None
+            x = of_letter[c]
+            if x is None:
                 continue
-            x = 0.0
-            for p, q, n in ctx:
+            for p, q, n in beside:
                 ps, qs = {p, "" if p.isascii() else _swapped(p).get(z, p)} - {""}, {q, "" if q.isascii() else _swapped(q).get(z, q)} - {""}
                 x += n * max(likelihood(c, a, b) for a in ps for b in qs)
             ll[z] = x
         if ll:
             units.append((u, swaps, here, ll, total))
-    share = np.full(len(SWAPS), (1 - IDENTITY) / 12)
+    share = np.full(len(SWAPS) + 1, (1 - IDENTITY) / 12)
     same = IDENTITY
     post: list[tuple[float, dict[str, float]]] = []
     for _ in range(rounds):
-        got, kept = np.full(len(SWAPS), 0.02), 2.0
+        got, kept = np.full(len(SWAPS) + 1, 0.02), 2.0
         post = []
         for _u, swaps, here, ll, _n in units:
             x = {z: v + math.log(share[z]) for z, v in ll.items()}
@@ -273,22 +356,24 @@ def learn_source(stats: pd.DataFrame, big: dict[tuple[str, str], int], rounds: i
 def learn_ciphers(fields: DataFrame, big: dict[tuple[str, str], int]) -> DataFrame:
     """(source, cipher): for each source with swapped units the map from unit to letter."""
     shared = fields.sparkSession.sparkContext.broadcast(big)
-    stats = fields.select("source", "text").mapInPandas(_contexts, "source string, u string, p string, q string, n long").groupBy("source", "u", "p", "q").agg(F.sum("n").alias("n"))
-    # a source's statistics are bounded by the alphabet, however many rows it has
+    total = sum(n for (a, _), n in big.items() if a == "")
+    stats = fields.where(_HIGH).select("source", "text").mapInPandas(_contexts, "source string, u string, p string, q string, n long").groupBy("source", "u", "p", "q").agg(F.sum("n").alias("n"))
+    # a source's statistics are bounded by its units and the letters beside them, however many rows it has
     found = stats.groupBy("source").applyInPandas(
-        lambda key, pdf: pd.DataFrame([(key[0], u, c) for u, c, _ in learn_source(pdf, shared.value)], columns=["source", "u", "c"]), "source string, u string, c string"
+        lambda key, pdf: pd.DataFrame([(key[0], u, c) for u, c, _ in learn_source(pdf, shared.value, total)], columns=["source", "u", "c"]), "source string, u string, c string"
     )
     return found.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("u", "c"))).alias("cipher"))
 
 
 def restore(text: str, cipher: dict[str, str] | None) -> tuple[str, int, int]:
     """(text, restored, lost): restored counts the repaired stretches, lost what stays damaged."""
-    t, n = repair_sequences(text)
+    t, n = _read(text, cipher) if cipher else (text, 0)
     lost = len(_LOST.findall(t))
     if cipher:
-        m = sum(t.count(u) for u in cipher)
+        single = {u: c for u, c in cipher.items() if len(u) == 1}
+        m = sum(t.count(u) for u in single)
         if m:
-            t = t.translate({ord(u): c for u, c in cipher.items()})
+            t = t.translate({ord(u): c for u, c in single.items()})
             n += m
     return t, n, lost
 
