@@ -9,8 +9,6 @@ from loomgraph.runtime import real_number, staged
 
 #: A list with no spread says nothing about its items' order: they get the middle of the bounded range.
 FLOOR, CEIL = 0.02, 0.98
-#: A score this many robust deviations out is a fault of its list, not support: it counts as the middle.
-OUTLIER = 25.0
 
 
 def _median(c: str):
@@ -24,8 +22,8 @@ def bounded_scores(results: DataFrame) -> DataFrame:
 
     Scores are standardised within (query, source, confidence_method) by median and 1.4826 x median absolute
     deviation and squashed by the logistic function. Repeated deliveries and repeats in a list count once, with
-    the best score; null, NaN and infinite scores are no scores. A spread of zero gives 0.5 to all, an extreme
-    outlier (OUTLIER) gives 0.5 to that item.
+    the best score; null, NaN and infinite scores are no scores. A spread of zero gives 0.5 to all. However far out a
+    score is, the logistic function leaves it at FLOOR or CEIL.
     """
     keys = ["query_id", "source", "confidence_method"]
     items = (
@@ -38,7 +36,6 @@ def bounded_scores(results: DataFrame) -> DataFrame:
     dev = items.join(med, keys).withColumn("d", F.abs(F.col("s") - F.col("med")))
     mad = dev.join(dev.groupBy(*keys).agg((1.4826 * _median("d")).alias("mad")), keys)
     z = F.when(F.col("mad") > 0, (F.col("s") - F.col("med")) / F.col("mad")).otherwise(F.lit(0.0))
-    z = F.when(F.abs(z) < OUTLIER, z).otherwise(F.lit(0.0))
     u = F.least(F.greatest(1 / (1 + F.exp(-z)), F.lit(FLOOR)), F.lit(CEIL))
     return mad.withColumn("u", u).groupBy("query_id", "source", "entity_id").agg(F.max("u").alias("u"), F.max("n").alias("n_list"))
 
