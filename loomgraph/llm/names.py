@@ -83,7 +83,7 @@ def name_tokens(name: str) -> tuple[list[str], bool]:
     # initials written together after a surname
     s = re.sub(r"(?<=\s)([A-Z])([A-Z])\.?$", r"\1 \2", s) if not s.isupper() else s
     comma = bool(re.match(r"\s*[^,]+,\s*\S", s))
-    return re.findall(r"[a-z0-9]+", s.lower().replace("'", "")), comma
+    return re.findall(r"[^\W_]+", s.lower().replace("'", "")), comma
 
 
 class NameParser:
@@ -123,7 +123,7 @@ class NameParser:
     def person(self, name: str) -> tuple[str, str, str, str]:
         """(rare, given, first initial, second initial) of a person's name; empty strings for what it lacks."""
         toks, comma = name_tokens(name)
-        cut = len(re.findall(r"[a-z0-9]+", fold(name.split(",")[0]).lower().replace("'", ""))) if comma else 0
+        cut = len(re.findall(r"[^\W_]+", fold(name.split(",")[0]).lower().replace("'", ""))) if comma else 0
         rest = [(i, t) for i, t in enumerate(toks) if t not in TITLES and not t.isdigit()]
         seen: list[tuple[int, str]] = []
         for i, t in rest:
@@ -150,7 +150,7 @@ class NameParser:
         order = [self.as_given(t) or t for _, t in givens]
         g = order[0] if order else ""
         more = [x[:1] for x in order[1:] if x != g] + initials
-        rare_token = self.shape(rare[0][1]) if rare else ""
+        rare_token = self.shape(rare[0][1]) if rare else " ".join(toks)
         if g.startswith("#"):
             return rare_token, "", g, more[0] if more else ""
         if g:
@@ -158,7 +158,10 @@ class NameParser:
         return rare_token, "", initials[0] if initials else "", initials[1] if len(initials) > 1 else ""
 
     def organization(self, name: str) -> tuple[str, str, str, str]:
-        """(rare, kind, '', '') of an organisation's name; a kind that the name doesn't tell is empty."""
+        """(rare, kind, '', '') of an organisation's name: its words that are not common to organisations, in order of letters.
+
+        A name of common words alone is its own rare part; a kind that the name doesn't tell is empty.
+        """
         toks, _ = name_tokens(name)
         kind, rare = "", []
         for t in toks:
@@ -169,7 +172,7 @@ class NameParser:
                     kind = "partners"
             elif len(t) > 2:
                 rare.append(t)
-        return self.shape(max(rare, key=len)) if rare else "", kind, "", ""
+        return " ".join(sorted({self.shape(t) for t in rare})) or " ".join(toks), kind, "", ""
 
 
 _ORG_LONG = [w for w in ORG_WORDS if len(w) > 4]
@@ -229,7 +232,8 @@ def rare_token_pairs(tokens: DataFrame) -> DataFrame:
 
     ``tokens`` is (kind, t, n). Each padded token of L characters has L q-grams of three; one edit spoils at most four
     of them, so two such tokens share one of the five rarest of each, at positions that differ by one at most.
-    Only the pairs that this prefix index gives are compared.
+    Tokens of four letters or fewer may share none; they meet in what deleting a letter leaves of them, the token
+    itself included. Only the pairs that these indexes give are compared.
     """
     grams = F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.struct(F.substring(F.concat(F.lit("^"), F.col("t"), F.lit("$")), i, F.lit(Q)).alias("g"), i.alias("p")))
     g = tokens.where(F.length("t") > 4).select("kind", "t", "n", F.explode(grams).alias("x")).select("kind", "t", "n", "x.g", "x.p")
@@ -239,7 +243,12 @@ def rare_token_pairs(tokens: DataFrame) -> DataFrame:
     pre = g.join(F.broadcast(df), "g").withColumn("k", F.row_number().over(order)).where("k <= 5").select("kind", "t", "n", "g", "p")
     left = pre.select("kind", F.col("t").alias("a"), F.col("n").alias("na"), "g", F.explode(F.array(F.col("p") - 1, F.col("p"), F.col("p") + 1)).alias("p"))
     right = pre.select("kind", F.col("t").alias("b"), F.col("n").alias("nb"), "g", "p")
-    near = left.join(right, ["kind", "g", "p"]).where((F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("a") < F.col("b")))
+    long = left.join(right, ["kind", "g", "p"]).select("kind", "a", "b", "na", "nb")
+    # one edit may reach from four letters to five
+    rest = F.transform(F.sequence(F.lit(0), F.length("t")), lambda i: F.when(i == 0, F.col("t")).otherwise(F.concat(F.substring("t", F.lit(1), i - 1), F.substring("t", i + 1, F.length("t")))))
+    few = tokens.where(F.length("t").between(1, 5)).select("kind", "t", "n", F.explode(F.array_distinct(rest)).alias("g")).where("g <> ''")
+    short = few.select("kind", F.col("t").alias("a"), F.col("n").alias("na"), "g").join(few.select("kind", F.col("t").alias("b"), F.col("n").alias("nb"), "g"), ["kind", "g"]).select("kind", "a", "b", "na", "nb")
+    near = long.unionByName(short).where((F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("a") < F.col("b")))
     dist = F.levenshtein("a", "b", 2)
     swap = (F.length("a") == F.length("b")) & (F.array_join(F.array_sort(F.split("a", "")), "") == F.array_join(F.array_sort(F.split("b", "")), ""))
     return near.withColumn("d", dist).where((F.col("d") == 1) | ((F.col("d") == 2) & swap)).select("kind", "a", "b", "na", "nb").distinct()
@@ -271,7 +280,11 @@ def name_clusters(parsed: DataFrame) -> DataFrame:
     w = Window.partitionBy("kind", "rare", "i1", "i2").orderBy(F.desc("same2"), F.desc("n"), "fq")
     cand = cand.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("n").over(w)).withColumn("next2", F.lead("same2").over(w))
     clear = F.col("next").isNull() | (F.col("same2") > F.col("next2")) | (F.col("n") > 2 * F.col("next"))
-    took = cand.where((F.col("k") == 1) & clear).select("kind", "rare", "i1", "i2", "fq")
+    # the same soft similarity as below, of one rare token and a qualifier that fits
+    total = F.lit(float(max(2, parsed.count())))
+    w_same = F.log(total / F.col("n")) + 1
+    fit = (w_same + 3.0 * F.when(F.col("i1") == "", 0.65).otherwise(0.75)) / (w_same + 3.0)
+    took = cand.where((F.col("k") == 1) & clear & (fit >= SIMILAR)).select("kind", "rare", "i1", "i2", "fq")
     q = p.join(took, ["kind", "rare", "i1", "i2"], "left").withColumn("q", F.when(F.col("full"), F.col("qual")).otherwise(F.coalesce("fq", F.concat(F.lit("?"), "i1"))))
     q = staged(q.select("kind", "name", "rare", "q"), "names")
     groups = q.groupBy("kind", "rare", "q").agg(F.count("*").alias("n"))
@@ -279,7 +292,6 @@ def name_clusters(parsed: DataFrame) -> DataFrame:
     toks = groups.groupBy("kind", F.col("rare").alias("t")).agg(F.sum("n").alias("n"))
     pairs = rare_token_pairs(toks)
     both = pairs.select("kind", F.col("a").alias("rare"), F.col("b").alias("other")).unionByName(pairs.select("kind", F.col("b").alias("rare"), F.col("a").alias("other")))
-    total = F.lit(float(max(2, parsed.count())))
     o = groups.select("kind", F.col("rare").alias("other"), F.col("q").alias("oq"), F.col("n").alias("on"))
     near = groups.join(both, ["kind", "rare"]).join(o, ["kind", "other"]).where((F.col("on") > F.col("n")) | ((F.col("on") == F.col("n")) & (F.col("other") < F.col("rare"))))
     start = F.substring("q", 1, 1) == "?"

@@ -263,13 +263,19 @@ def test_rare_pairs_against_brute_force(spark):
     r = random.Random(2)
     words = {"".join(r.choice(["kru", "sto", "ba", "di", "le", "mo"]) for _ in range(3)) for _ in range(120)}
     words |= {w[:3] + w[4:] for w in list(words)[:40]} | {w[:2] + w[3] + w[2] + w[4:] for w in list(words)[:40]}
-    words = sorted(w for w in words if len(w) > 4)
+    words = sorted(words | {"".join(r.choice("abc") for _ in range(r.randrange(2, 6))) for _ in range(60)})
     df = spark.createDataFrame([("Person", w, 1) for w in words], "kind string, t string, n int")
     got = {(x.a, x.b) for x in names.rare_token_pairs(df).collect()}
     want = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if names.one_edit(a, b)}
     assert want <= got
 
 
+def test_names_without_a_rare_part_and_in_other_scripts(spark):
+    rows = [("a", "Person", "Иван Петров"), ("b", "Person", "иван петров"), ("c", "Organization", "Institute of Applied Science"), ("d", "Organization", "Inst. of Applied Science"), ("e", "Organization", "Karlsruhe Berlin Institute"), ("f", "Organization", "Karlsruhe Munich Institute"), ("g", "Organization", "Institute of Applied Science")]
+    got = {r.id: r.cluster for r in names.linked_mentions(spark.createDataFrame(rows, "id string, kind string, name string")).collect()}
+    assert got["a"] == got["b"] and got["c"] == got["g"] and got["e"] != got["f"]
+
+
 # 6. survivors --------------------------------------------------------------------------------------------------
 
 
