@@ -182,6 +182,37 @@ def test_cells_are_of_like_size():
         assert len(np.unique(cell)) > 10 and np.bincount(cell.astype(int)).max() < 64_000 * 0.2
 
 
+def test_many_cells_lose_no_neighbours(spark, monkeypatch):
+    # small cells stand for many rows: what the borders of 60 times as many cells part must be met all the same
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 100)
+    r = np.random.default_rng(8)
+    n = 6007
+    x = np.repeat(r.standard_normal((n // 8 + 1, 64)), 8, axis=0)[:n] + 0.65 * r.standard_normal((n, 64))
+    df = spark.createDataFrame([("x", f"v{i:05d}", v) for i, v in enumerate(x.tolist())], "kind string, id string, v array<float>")
+    got = {(a.id, a.neighbour) for a in neighbours.nearest(df).collect()}
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    s = u @ u.T - 3 * np.eye(n, dtype=np.float32)
+    want = {(f"v{i:05d}", f"v{j:05d}") for i, t in enumerate(np.argpartition(-s, 5, axis=1)[:, :5]) for j in t}
+    assert len(want & got) / len(want) > 0.92
+
+
+def test_probed_cells_are_the_nearest():
+    margin = np.random.default_rng(3).standard_normal((50, 7))
+    cell = (margin > 0) @ (1 << np.arange(7))
+    got = neighbours.probed_cells(cell, margin, 5)
+    flips = (np.arange(128)[:, None] >> np.arange(7)) & 1
+    want = cell[:, None] ^ np.argsort(margin**2 @ flips.T, axis=1)[:, :5]
+    assert (got == want).all()
+
+
+def test_plans_reach_their_share_at_any_number_of_rows():
+    for n in (10_000, 200_000, 3_000_000, 50_000_000):
+        coarse, copies, tables, reach = neighbours.plan(n)
+        shares = neighbours.shared_cells(coarse, copies)
+        assert n * copies / 2**coarse <= neighbours.CELL_ROWS
+        assert (shares * (1 - reach) ** np.arange(len(shares))).sum() ** tables <= neighbours.MISSED + 1e-6
+
+
 def test_grid_vectors_are_packed_exactly():
     k = np.random.default_rng(1).integers(-31, 32, (50, 100)).astype(np.float32)
     k[:, 0] = 32
