@@ -104,18 +104,20 @@ def fine_tables(rows: float, reach: float) -> int:
 
 
 @lru_cache(maxsize=None)
-def plan(n: int) -> tuple[int, int, int, float]:
+def plan(n: int, off: float = 0.0) -> tuple[int, int, int, float]:
     """(coarse functions, copies, tables, reach in a cell) of the least cost by which all but MISSED planned pairs are candidates.
 
     More rows make more cells, which part more pairs; copies in probed cells and further tables make up for that, so the
-    share found does not fall with the rows. A cell holds at most about CELL_ROWS.
+    share found does not fall with the rows. A cell holds at most about CELL_ROWS; the share ``off`` of vectors off the grid
+    takes four more bytes a number, so a cell holds less, and where they are many a table has a copy less.
     """
     best = None
-    least = max(0, math.ceil(math.log2(max(1.0, n / CELL_ROWS))))
+    most, most_copies = CELL_ROWS / (1 + 4 * off), COPIES - (off > 0.2)
+    least = max(0, math.ceil(math.log2(max(1.0, n / most))))
     for coarse in range(least, least + 4 if least else 1):
-        for copies in range(1, min(COPIES, max(1, (1 << coarse) - 1)) + 1):
+        for copies in range(1, min(most_copies, max(1, (1 << coarse) - 1)) + 1):
             rows = n * copies / (1 << coarse)
-            if rows > CELL_ROWS:
+            if rows > most:
                 continue
             shares = shared_cells(coarse, copies)
             tried = set()
@@ -205,11 +207,50 @@ def _hash_rows(h: Hashes, tag: int, t: int, copies: int, reach: float):
             cells = probed_cells(*h.apply(_unpack(b.column("q")), t), copies)
             for cell in cells.T:
                 key = cell * _SALT + tag
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("g"), b.column("q"), pa.array(np.full(len(key), reach, np.float32))], ["cell", "g", "q", "reach"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column("g"), b.column("q"), b.column("raw"), pa.array(np.full(len(key), reach, np.float32))], ["cell", "g", "q", "raw", "reach"])
 
     return run
 
 
+class _Vectors:
+    """The vectors of a cell, in one byte a number or, those off the grid, as 32-bit floats."""
+
+    def __init__(self, q: np.ndarray, off: np.ndarray | None = None, raw: np.ndarray | None = None) -> None:
+        """``raw``: the vectors, of length 1, of the rows ``off``."""
+        self.q, self.raw, self.at = q, raw, None
+        self.inv = np.concatenate([1 / np.linalg.norm(q[i : i + 4096].astype(np.float32), axis=1) for i in range(0, len(q), 4096)]).astype(np.float32)
+        if off is not None and len(off):
+            self.at = np.full(len(q), -1, np.int32)
+            self.at[off], self.inv[off] = np.arange(len(off)), 1
+
+    @classmethod
+    def of(cls, t: pa.Table) -> _Vectors:
+        q = _bytes(t.column("q"), np.int8)
+        if "raw" not in t.column_names or t.column("raw").null_count == len(q):
+            return cls(q)
+        raw = t.column("raw")
+        return cls(q, np.flatnonzero(raw.is_valid().to_numpy()), _bytes(raw.drop_null(), np.float32))
+
+    def select(self, rows: np.ndarray) -> _Vectors:
+        if self.at is None:
+            return _Vectors(self.q[rows])
+        at = self.at[rows]
+        return _Vectors(self.q[rows], np.flatnonzero(at >= 0), self.raw[at[at >= 0]])
+
+    def __len__(self) -> int:
+        return len(self.q)
+
+    def __getitem__(self, rows: np.ndarray | slice) -> np.ndarray:
+        """Their vectors; times ``inv`` of length 1."""
+        x = self.q[rows].astype(np.float32)
+        if self.at is not None:
+            at = self.at[rows]
+            off = np.flatnonzero(at >= 0)
+            if len(off):
+                x[off] = self.raw[at[off]]
+        return x
+
+
 class _Best:
     """The k best candidates of every row so far, each once; those that may be among them are held and merged in bulk."""
 
@@ -253,40 +294,40 @@ class _Best:
         self.least[rows] = self.cos[rows, -1]
 
 
-def _fine_table(q: np.ndarray, inv: np.ndarray, m: int, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def _fine_table(q: _Vectors, m: int, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """(buckets n, distances n x m from the borders) by m p-stable functions of two bins, divided at the cell's medians."""
-    a = r.standard_normal((q.shape[1], m)).astype(np.float32)
-    p = np.concatenate([q[i : i + 4096].astype(np.float32) @ a for i in range(0, len(q), 4096)]) * inv[:, None]
+    a = r.standard_normal((q.q.shape[1], m)).astype(np.float32)
+    p = np.concatenate([q[i : i + 4096] @ a for i in range(0, len(q), 4096)]) * q.inv[:, None]
     p -= np.median(p[:: max(1, len(p) // SAMPLE)], axis=0)
     return (p > 0) @ (np.int32(1) << np.arange(m, dtype=np.int32)), np.abs(p)
 
 
-def search_cell(g: np.ndarray, q: np.ndarray, k: int, reach: float = 1 - MISSED, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_cell(g: np.ndarray, q: _Vectors, k: int, reach: float = 1 - MISSED, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, cosine): the k best of all candidates of every row of one cell, by exact cosines.
 
-    ``g``: keys of vectors (equal vectors are one row), ``q``: vectors of any lengths above 0. In each of the fine tables
+    ``g``: keys of vectors (equal vectors are one row), ``q``: their vectors. In each of the fine tables
     every row visits its own and its perturbed buckets; visitor and visited are candidates of each other. A cell of few
     rows is compared whole, and so is a row that has fewer than k candidates.
     """
     uniq, first = np.unique(g, return_index=True)
     if len(uniq) < len(g):
-        g, q = uniq, q[first]
+        g, q = uniq, q.select(first)
     n = len(g)
     if n < 2:
         return g[:0], g[:0], np.zeros(0, np.float32)
-    inv = np.concatenate([1 / np.linalg.norm(q[i : i + 4096].astype(np.float32), axis=1) for i in range(0, n, 4096)]).astype(np.float32)
+    inv = q.inv
     best = _Best(n, k)
     if n > WHOLE_ROWS:
         r, m = np.random.default_rng(seed), functions_of(n)
         for i in range(fine_tables(n, reach)):
-            _visit(q, inv, *_fine_table(q, inv, m, r), best, i == 0)
+            _visit(q, *_fine_table(q, m, r), best, i == 0)
     few = np.flatnonzero(~np.isfinite(best.least))
     for i in range(0, len(few), 256):
         own = few[i : i + 256]
-        x = q[own].astype(np.float32)
+        x = q[own]
         for r in range(0, n, 4096):
             part = np.arange(r, min(n, r + 4096))
-            cos = (x @ q[part].astype(np.float32).T) * (inv[own][:, None] * inv[part])
+            cos = (x @ q[part].T) * (inv[own][:, None] * inv[part])
             here = np.flatnonzero((own >= r) & (own < r + 4096))
             cos[here, own[here] - r] = -np.inf
             best.add(own, part, cos)
@@ -296,9 +337,9 @@ def search_cell(g: np.ndarray, q: np.ndarray, k: int, reach: float = 1 - MISSED,
     return g[a[keep]], g[best.who.reshape(-1)[keep]], c[keep]
 
 
-def _visit(q: np.ndarray, inv: np.ndarray, key: np.ndarray, margin: np.ndarray, best: _Best, first: bool) -> None:
+def _visit(q: _Vectors, key: np.ndarray, margin: np.ndarray, best: _Best, first: bool) -> None:
     """Compare the rows of each bucket with each other, then with all others that visit it."""
-    n, m = margin.shape
+    (n, m), inv = margin.shape, q.inv
     short = np.uint16 if m <= 16 else np.int32  # numbers of 16 bits are sorted by radix
     by = np.argsort(key.astype(short), kind="stable").astype(np.int32)
     start = np.append(0, np.cumsum(np.bincount(key, minlength=1 << m)))
@@ -312,17 +353,17 @@ def _visit(q: np.ndarray, inv: np.ndarray, key: np.ndarray, margin: np.ndarray,
             rows = by[start[bucket] : start[bucket + 1]]
             others = who[edges[bucket] : edges[bucket + 1]] if visits else rows
             if first and not visits and len(rows) <= 1024:
-                x = q[rows].astype(np.float32)
+                x = q[rows]
                 cos = (x @ x.T) * (inv[rows][:, None] * inv[rows])
                 np.fill_diagonal(cos, -np.inf)
                 best.first(rows, cos)
                 continue
             for r in range(0, len(rows), 4096):
                 part = rows[r : r + 4096]
-                x, width = q[part].astype(np.float32).T, max(1, BLOCK // len(part))
+                x, width = q[part].T, max(1, BLOCK // len(part))
                 for v in range(0, len(others), width):
                     own = others[v : v + width]
-                    cos = (q[own].astype(np.float32) @ x) * (inv[own][:, None] * inv[part])
+                    cos = (q[own] @ x) * (inv[own][:, None] * inv[part])
                     if not visits:
                         cos[own[:, None] == part] = -np.inf
                     best.add(own, part, cos)
@@ -366,7 +407,7 @@ def _search(k: int):
             reach = t.column("reach")[0].as_py() if "reach" in t.column_names else 1 - MISSED
             # functions differ from cell to cell, so a pair with two cells in common has independent chances
             seed = int(t.column("cell")[0].as_py()) & (2**63 - 1)
-            g, q = t.column("g").to_numpy(), _bytes(t.column("q"), np.int8)
+            g, q = t.column("g").to_numpy(), _Vectors.of(t)
             del t  # the batches, whose vectors are now in q
             a, b, c = search_cell(g, q, k, reach, seed)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c, pa.float32())], ["a", "b", "cosine"])
@@ -394,10 +435,25 @@ def quantised(x: np.ndarray) -> np.ndarray:
     return np.rint(y * scale[:, None]).astype(np.int8)
 
 
+#: Rounding of 32-bit floats, in steps of the grid.
+ON_GRID = 1e-3
+
+
+def off_grid(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Rows whose one-byte form is not the vector itself, but for the rounding of floats."""
+    top = np.abs(x).argmax(axis=1)[:, None]
+    step = np.take_along_axis(x, top, axis=1) / np.take_along_axis(q, top, axis=1)
+    return (np.abs(x / step - q) > ON_GRID).any(axis=1)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("kind"), b.column("id"), _binary(quantised(_units(b)))], ["g", "kind", "id", "q"])
+            x = _units(b)
+            q = quantised(x)
+            off = off_grid(x, q)
+            raw = pa.array([v.tobytes() if o else None for v, o in zip(x, off, strict=True)], pa.binary()) if off.any() else pa.nulls(len(x), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("kind"), b.column("id"), _binary(q), raw, pa.array(off)], ["g", "kind", "id", "q", "raw", "off"])
 
 
 def _unpack(q: pa.Array) -> np.ndarray:
@@ -413,13 +469,13 @@ def nearest(vectors: DataFrame, k: int = 5, tables: int | None = None) -> DataFr
     Ids of equal vectors are each other's neighbours, smaller ids first. Repeats of an id count once. ``tables``: of each
     kind, in place of the planned number; more find more and cost more.
 
-    1. Each vector goes, in one byte a number, to its cell of a table and to the probed ones across its nearest borders
+    1. Each vector goes, in one byte a number (one that this would change takes its 32-bit floats along), to its cell of a table and to the probed ones across its nearest borders
        (coarse p-stable functions; their number grows with the logarithm of the rows, so cells do not). What more cells
        part, more copies and tables bring together (:func:`plan`), so the share found stays with more rows, at more cost.
     2. A cell is searched whole: in each of its fine tables a row visits its own and its perturbed buckets in the order of
        estimated success. All it meets there are candidates, and the exact cosine of each is computed.
-    3. The k best of a cell hold all of that cell that may be among the k best of the merged candidates, so only
-       these are merged. Tables are searched one after the other, so that the disk holds the vectors and their copies of one
+    3. The merged candidates are ranked by these exact cosines. The k best of a cell hold all of that cell that may be
+       among the k best of the merged candidates, so only these are merged. Tables are searched one after the other, so that the disk holds the vectors and their copies of one
        table at most; the result is a written table, and what led to it is deleted.
     """
     spark = vectors.sparkSession
@@ -432,10 +488,11 @@ def nearest(vectors: DataFrame, k: int = 5, tables: int | None = None) -> DataFr
     for kind, (_, dim) in sizes.items():
         one = (F.col("kind") == kind) & (F.size("v") == dim)
         fits = one if fits is None else fits | one
-    packed = staged(vectors.where(fits).mapInArrow(_pack, "g long, kind string, id string, q binary"), "packed")
+    packed = staged(vectors.where(fits).mapInArrow(_pack, "g long, kind string, id string, q binary, raw binary, off boolean"), "packed")
     hashes, plans = {}, {}
+    off = {r["kind"]: r["off"] for r in packed.groupBy("kind").agg(F.avg(F.col("off").cast("double")).alias("off")).collect()}
     for kind, (n, dim) in sizes.items():
-        coarse, copies, planned, reach = plan(n)
+        coarse, copies, planned, reach = plan(n, math.ceil(off[kind] * 20 - 0.5) / 20)
         plans[kind] = copies, reach
         some = packed.where(F.col("kind") == kind).orderBy(F.xxhash64("g"), "id").limit(SAMPLE).select("q").toArrow()
         hashes[kind] = Hashes(dim, tables or planned, coarse, _unpack(some.column("q")))
@@ -445,7 +502,7 @@ def nearest(vectors: DataFrame, k: int = 5, tables: int | None = None) -> DataFr
         for tag, kind in enumerate(sorted(sizes)):
             if t >= hashes[kind].tables:
                 continue
-            part = packed.where(F.col("kind") == kind).select("g", "q").mapInArrow(_hash_rows(hashes[kind], tag, t, *plans[kind]), "cell long, g long, q binary, reach float")
+            part = packed.where(F.col("kind") == kind).select("g", "q", "raw").mapInArrow(_hash_rows(hashes[kind], tag, t, *plans[kind]), "cell long, g long, q binary, raw binary, reach float")
             rows = part if rows is None else rows.unionByName(part)
         part = staged(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_search(k), "a long, b long, cosine float"), "best")
         # merged after every table, so that the disk never holds the candidates of many; one shuffle by a serves the

@@ -213,6 +213,18 @@ def test_plans_reach_their_share_at_any_number_of_rows():
         assert (shares * (1 - reach) ** np.arange(len(shares))).sum() ** tables <= neighbours.MISSED + 1e-6
 
 
+def test_candidates_are_ranked_by_exact_cosines(spark):
+    # vectors off every grid of one byte, of cosines closer than that grid tells apart, beside some on a grid
+    r = np.random.default_rng(12)
+    x = np.concatenate([r.standard_normal(32) + 0.12 * r.standard_normal((300, 32)), r.integers(-9, 10, (40, 32))]).astype(np.float32)
+    near = neighbours.nearest(spark.createDataFrame([("x", f"v{i:03d}", v) for i, v in enumerate(x.tolist())], "kind string, id string, v array<float>")).collect()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T - 3 * np.eye(len(x))
+    want = {(f"v{i:03d}", f"v{j:03d}"): s[i, j] for i in range(len(x)) for j in np.argsort(-s[i])[:5]}
+    got = {(n.id, n.neighbour): n.cosine for n in near}
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-6 for p in want)
+
+
 def test_grid_vectors_are_packed_exactly():
     k = np.random.default_rng(1).integers(-31, 32, (50, 100)).astype(np.float32)
     k[:, 0] = 32
