@@ -338,6 +338,28 @@ def test_survivors(spark):
     assert survivors.checked(survivors.survivors(d.limit(0), e, trust)).count() == 0
 
 
+def test_the_standing_needs_no_fusion(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from loomgraph.llm import queries
+
+    t = lambda d: dt.datetime(2025, 1, d)
+    r = random.Random(4)
+    members = [(f"e{i:02d}", r.choice(["Ann", "Anne", " ", None]), r.choice(["x", "n/a", "y"]), None, r.choice(["c", "d"]), r.choice([0.5, 90.0, None]), r.choice(["pdf:1", "web:1", "zzz"]), t(r.randint(1, 3)), t(5)) for i in range(40)]
+    tables = {
+        "entities": spark.createDataFrame(members, "id string, name string, description string, homepage string, category string, confidence double, extraction_source string, observed_at timestamp, ingested_at timestamp"),
+        "resolution_decisions": spark.createDataFrame([("MERGE", f"k{j}", [f"e{i:02d}" for i in range(j, 40, 8)]) for j in range(8)], "action string, canonical_id string, source_ids array<string>"),
+        "source_trust": spark.createDataFrame([("pdf", 0.85), ("web", 0.3)], "source_kind string, trust double"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    fused = survivors.survivors(tables["resolution_decisions"], tables["entities"], tables["source_trust"])
+    want = {tuple(x) for x in survivors.checked(fused).select("canonical_id", "field_name", "entity_id").collect()}
+    monkeypatch.setattr(survivors, "estimate_sources", lambda *a, **k: pytest.fail("p6_found estimates sources that change nothing"))
+    got = [tuple(x) for x in queries.p6_found(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) > 20 and set(got) == want
+
+
 def claims_of(spark, groups):
     """Claims of one field from {group: [(source kind, value)]}; trust pdf 0.8, github 0.7, md 0.6, web 0.55."""
     import datetime as dt
