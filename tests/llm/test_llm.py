@@ -213,6 +213,13 @@ def test_plans_reach_their_share_at_any_number_of_rows():
         assert (shares * (1 - reach) ** np.arange(len(shares))).sum() ** tables <= neighbours.MISSED + 1e-6
 
 
+def test_a_hundred_thousand_rows_are_sent_once():
+    # six copies of the vectors were sent to cells at every size
+    for n in (60_000, 115_000):
+        coarse, copies, tables, _ = neighbours.plan(n)
+        assert coarse == 0 and copies * tables == 1
+
+
 def test_candidates_are_ranked_by_exact_cosines(spark):
     # vectors off every grid of one byte, of cosines closer than that grid tells apart, beside some on a grid
     r = np.random.default_rng(12)
