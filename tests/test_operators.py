@@ -207,3 +207,41 @@ def test_streaming_merge(spark, tmp_path):
         spark.createDataFrame(batch, schema).write.mode("append").parquet(src)
         ingest.merge_chunks(ingest.read_documents(spark, src, schema), out, ck).awaitTermination(60)
     assert {(r.id, r.content) for r in spark.read.parquet(out).collect()} == {("d1", "x y"), ("d2", "q")}
+
+
+def _members(spark, names):
+    return resolve.block_members(spark.createDataFrame(names, "id string, type string, name string"))
+
+
+def _blocked(members):
+    """Brute force: the kinds of blocks that two ids share, by pair."""
+    keys = {}
+    for r in members.where("type IS NOT NULL").collect():
+        keys.setdefault(r.id, set()).add((r.type, r.kind, r.value))
+    return {(a, b): sorted({k[1] for k in keys[a] & keys[b]}) for a in keys for b in keys if a < b and keys[a] & keys[b]}
+
+
+_MANY = [(f"{k:03}", ("Person", "Organization", None)[k % 7 % 3], f"{'JAB'[k % 3]} {('Anna', 'Bo', 'B')[k // 3 % 3]} {'xyz'[k // 9 % 3]} {('Berg', 'Alm', 'Anna')[k // 5 % 3]}") for k in range(90)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _after_join(df):
+    """The plan above the self join of the blocks: what the pairs pass."""
+    lines = _plan(df).split("== Initial Plan ==")[0].split("\n")
+    at = next(i for i, x in enumerate(lines) if "Join" in x and "id_a" in x)
+    return "\n".join(lines[:at])
+
+
+def test_blocked_pairs_need_no_shuffle(spark, monkeypatch):
+    members = _members(spark, _MANY)
+    want = _blocked(members)
+    assert max(len(k) for k in want.values()) == 3
+    for part in (resolve.BLOCK_PART, 4):  # blocks of more rows are joined in parts
+        monkeypatch.setattr(resolve, "BLOCK_PART", part)
+        df = resolve.blocked_pairs(members)
+        got = [(r.id_a, r.id_b, r.kinds) for r in df.collect()]
+        assert len(got) == len(want) and {(a, b): k for a, b, k in got} == want
+        assert "Exchange" not in _after_join(df)
