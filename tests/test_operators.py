@@ -245,3 +245,13 @@ def test_blocked_pairs_need_no_shuffle(spark, monkeypatch):
         got = [(r.id_a, r.id_b, r.kinds) for r in df.collect()]
         assert len(got) == len(want) and {(a, b): k for a, b, k in got} == want
         assert "Exchange" not in _after_join(df)
+
+
+def test_unscored_pairs_are_left_out_where_pairs_are_made(spark):
+    members = _members(spark, _MANY)
+    want = _blocked(members)
+    held = [p[:: 1 - 2 * (i % 2)] for i, p in enumerate(sorted(want)) if i % 3 == 0] * 2 + [("none", "000"), ("000", "none")]
+    df = resolve.unscored_pairs(members, spark.createDataFrame(held, "id_a string, id_b string"))
+    got = [(r.id_a, r.id_b) for r in df.collect()]
+    assert sorted(got) == [p for i, p in enumerate(sorted(want)) if i % 3]
+    assert "Exchange" not in _after_join(df)
