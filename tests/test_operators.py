@@ -255,3 +255,13 @@ def test_unscored_pairs_are_left_out_where_pairs_are_made(spark):
     got = [(r.id_a, r.id_b) for r in df.collect()]
     assert sorted(got) == [p for i, p in enumerate(sorted(want)) if i % 3]
     assert "Exchange" not in _after_join(df)
+
+
+def test_block_statistics_count_without_pairs(spark):
+    members = _members(spark, _MANY)
+    df = resolve.block_statistics(members)
+    assert df.first().unique_pairs == len(_blocked(members))
+    assert "id_a" not in _plan(df)
+    many = spark.range(60_000).selectExpr("string(id) AS id", "'Person' AS type", "'Anna B Berg' AS name")  # pairs that can't be expanded here
+    assert resolve.block_statistics(resolve.block_members(many)).first().unique_pairs == 60_000 * 59_999 // 2
+    assert resolve.block_statistics(members.where("false")).first().unique_pairs == 0
