@@ -52,3 +52,16 @@ def test_keyword_indexes_hold_aliases_and_titles(spark, tmp_path):
     fields = Q._keyword_fields(spark, str(tmp_path))
     r = Q.retrieve.search_by_keyword(fields, "zeppelin quokka walrus narwhals").collect()
     assert {(x.id, x.index_name) for x in r} == {("t1", "technology"), ("o1", "organization"), ("paper_a_pdf", "document"), ("markdown_b_md", "document")}
+
+
+def test_blocks_without_persons(spark, tmp_path):
+    names = [(f"{kind[:1]}{k:02}", kind, f"{('Anna', 'Bo')[k % 2]} {('Labs', 'Berg', 'Works')[k % 3]}") for k in range(12) for kind in ("Person", "Organization", "Dataset")]
+    write_entities(spark, tmp_path, [entity(*n) for n in names])
+    keys = {i: (kind, name.split()) for i, kind, name in names if kind != "Person"}
+    same = lambda x, y: x[0] == y[0] and any((x[1][0] == y[1][0], x[1][1] == y[1][1], sorted(t[0] for t in x[1]) == sorted(t[0] for t in y[1])))
+    want = {(a, b) for a in keys for b in keys if a < b and same(keys[a], keys[b])}
+    df = Q.a3_block_statistics(spark, str(tmp_path))
+    assert df.first().unique_pairs == len(want)
+    assert "id_a" not in df._jdf.queryExecution().executedPlan().toString()
+    got = [(r.id_a, r.id_b) for r in Q.j1_blocked_pairs(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
