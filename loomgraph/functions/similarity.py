@@ -51,9 +51,28 @@ def string_similarity(a: Column, b: Column) -> Column:
     return F.bround(F.greatest(r, t), 4)
 
 
-def upper_bound(a: Column, b: Column) -> Column:
-    """What a ratio can reach at most, from the lengths alone."""
-    return 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+def _letters(x: str) -> tuple[int, int]:
+    bits, seen = 0, {}
+    for c in x:
+        seen[c] = k = seen.get(c, 0) + 1
+        bits ^= 1 << (ord(c) * 31 + k * 53) % 128
+    return tuple(int.from_bytes((bits >> s & (1 << 64) - 1).to_bytes(8), signed=True) for s in (0, 64))
+
+
+@F.pandas_udf(T.StructType().add("lo", "long").add("hi", "long"))
+def letters(x: pd.Series) -> pd.DataFrame:
+    """128 bits of a string: each letter, by which of its occurrences it is, turns one bit over."""
+    return pd.DataFrame([_letters(v) for v in x], columns=["lo", "hi"], dtype="int64")
+
+
+def upper_bound(len_a: Column, len_b: Column, letters_a: Column, letters_b: Column) -> Column:
+    """What a ratio, of the strings or of the token-sorted ones, can reach at most.
+
+    From the lengths, and from the letters: one that only one side has can't be common, and turns one bit over at most.
+    """
+    apart = sum((F.bit_count(letters_a[x].bitwiseXOR(letters_b[x])) for x in ("lo", "hi")), F.lit(0))
+    n = len_a + len_b
+    return F.least(2 * F.least(len_a, len_b), n - apart) / n
 
 
 def dot(a, b) -> Column:

@@ -1,6 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.functions import similarity as S
 from loomgraph.operators import aggregates as A
 from loomgraph.operators import chunking, extract, quality, relate, resolve, retrieve, validate
 from loomgraph.plans import classify, explain, planner
@@ -265,3 +267,12 @@ def test_block_statistics_count_without_pairs(spark):
     many = spark.range(60_000).selectExpr("string(id) AS id", "'Person' AS type", "'Anna B Berg' AS name")  # pairs that can't be expanded here
     assert resolve.block_statistics(resolve.block_members(many)).first().unique_pairs == 60_000 * 59_999 // 2
     assert resolve.block_statistics(members.where("false")).first().unique_pairs == 0
+
+
+def test_letters_bound_the_ratios(spark):
+    names = ["anna berg", "berg anna", "anna bergh", "bo alm", "aaaa", "aaab", "x", "😀ß a", "neuneurygeul systems", "neuneurygeul system", "seuheuniator analytics"]
+    df = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    df = df.withColumn("u", S.upper_bound(F.length("a"), F.length("b"), S.letters("a"), S.letters("b"))).withColumn("s", F.greatest(*S.name_scores(F.col("a"), F.col("b"))))
+    rows = df.collect()
+    assert all(r.u >= r.s for r in rows)
+    assert next(r.u for r in rows if (r.a, r.b) == ("neuneurygeul systems", "seuheuniator analytics")) < 0.85  # by lengths alone it was 0.95
