@@ -276,3 +276,26 @@ def test_letters_bound_the_ratios(spark):
     rows = df.collect()
     assert all(r.u >= r.s for r in rows)
     assert next(r.u for r in rows if (r.a, r.b) == ("neuneurygeul systems", "seuheuniator analytics")) < 0.85  # by lengths alone it was 0.95
+
+
+def test_embedding_pairs_by_products_of_matrices(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(9, 24))
+    v = {r[0]: (base[k % 9] + rng.normal(size=24) * 0.45).astype("float32").tolist() for k, r in enumerate(_MANY)}
+    v["003"], v["006"], v["009"], v["012"], v["015"] = None, [0.0] * 24, v["000"], v["000"][:20], [None, *v["000"][1:]]
+    e = spark.createDataFrame([(*r, "pdf:x", v[r[0]]) for r in _MANY], "id string, type string, name string, extraction_source string, name_embedding array<float>")
+    members = resolve.block_members(e)
+    want = {}
+    for (a, b), kinds in _blocked(members).items():
+        x, y = v[a], v[b]
+        if x and y and None not in x + y and len(x) == len(y) and any(x) and any(y):
+            x, y = np.array(x, "float64"), np.array(y, "float64")
+            if round(c := float(x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)), 4) >= 0.75:
+                want[a, b] = (round(c, 4), [*kinds, "embedding_similarity"])
+    assert 50 < len(want) < len(_blocked(members))
+    for part in (resolve.BLOCK_PART, 4):
+        monkeypatch.setattr(resolve, "BLOCK_PART", part)
+        df = resolve.embedding_pairs(e, members, 0.75)
+        got = [((r.id_a, r.id_b), (r.score, r.matched_by)) for r in df.collect()]
+        assert len(got) == len(want) and dict(got) == want
+    assert "MapInArrow" in _plan(df)  # cosines of all blocked pairs by expressions took 40 microseconds a pair
