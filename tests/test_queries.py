@@ -65,3 +65,12 @@ def test_blocks_without_persons(spark, tmp_path):
     assert "id_a" not in df._jdf.queryExecution().executedPlan().toString()
     got = [(r.id_a, r.id_b) for r in Q.j1_blocked_pairs(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_unscored_pairs_of_all_entities(spark, tmp_path):
+    write_entities(spark, tmp_path, [entity("p1", "Person", "Anna Berg"), entity("p2", "Person", "Anna Lund"), entity("p3", "Person", "Anna Alm"), entity("o1", "Organization", "Anna Labs")])
+    rows = [(" p2", "p1\u00a0", "b", "a", "Person", 0.9, False, ["ratio"], "m", AT), ("p1", "p3", "a", "c", "Person", None, False, ["ratio"], "m", AT)]
+    spark.createDataFrame(rows, "id_a string, id_b string, name_a string, name_b string, type string, score double, cross_source boolean, matched_by array<string>, matcher string, scored_at timestamp").write.parquet(f"{tmp_path}/candidate_pairs.parquet")
+    df = Q.QUERIES["j3_all_unscored_pairs"](spark, str(tmp_path))
+    assert sorted((r.id_a, r.id_b) for r in df.collect()) == [("p1", "p3"), ("p2", "p3")]
+    assert "held" in df._jdf.queryExecution().executedPlan().toString()  # scored pairs are left out in the join, not after a shuffle of all pairs
